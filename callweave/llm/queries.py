@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from callweave.llm import fingerprints
+from callweave.llm import fingerprints, mixing
 from callweave.llm.common import table
 
 
@@ -13,7 +12,12 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_edited(table(spark, sf_dir, "documents"))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op2_mixing": op2_mixing,
     "op4_fingerprints": op4_fingerprints,
 }
 
