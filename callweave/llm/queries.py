@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from callweave.llm import fingerprints, mixing, sentences, tokens
+from callweave.llm import fingerprints, mixing, sentences, simhash, tokens
 from callweave.llm.common import table
 
 
@@ -27,6 +27,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.digests(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
@@ -35,6 +39,7 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op4_fingerprints": op4_fingerprints,
     "op5_token_counts": op5_token_counts,
+    "op8_simhash": op8_simhash,
     "op10_sentencepiece": op10_sentencepiece,
 }
 
