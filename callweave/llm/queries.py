@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from callweave.llm import fingerprints, lines, mixing, sentences, simhash, tokens
+from callweave.llm import fingerprints, lines, mixing, sentences, simhash, tokens, topk
 from callweave.llm.common import table
 
 
@@ -15,6 +15,10 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"))
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_edited(table(spark, sf_dir, "documents"))
 
@@ -41,6 +45,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_mixing": op2_mixing,
+    "op3_topk": op3_topk,
     "op4_fingerprints": op4_fingerprints,
     "op5_token_counts": op5_token_counts,
     "op7_line_dedup": op7_line_dedup,
@@ -49,5 +54,6 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_topk": topk.ORACLE,
     "op7_line_dedup": lines.ORACLE,
 }
