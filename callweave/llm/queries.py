@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from callweave.llm import fingerprints, lines, mixing, sentences, simhash, tokens, topk
+from callweave.llm import fingerprints, licenses, lines, mixing, secrets, sentences, simhash, tokens, topk
 from callweave.llm.common import table
 
 
@@ -31,6 +31,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.report(table(spark, sf_dir, "documents"))
 
@@ -39,6 +43,10 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(table(spark, sf_dir, "documents"))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.digests(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
@@ -48,8 +56,10 @@ QUERIES = {
     "op3_topk": op3_topk,
     "op4_fingerprints": op4_fingerprints,
     "op5_token_counts": op5_token_counts,
+    "op6_secrets": op6_secrets,
     "op7_line_dedup": op7_line_dedup,
     "op8_simhash": op8_simhash,
+    "op9_licenses": op9_licenses,
     "op10_sentencepiece": op10_sentencepiece,
 }
 
