@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from callweave.llm import fingerprints, licenses, lines, mixing, secrets, sentences, simhash, tokens, topk
+from callweave.llm import fingerprints, licenses, lines, mixing, quality, secrets, sentences, simhash, tokens, topk
 from callweave.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_edited(table(spark, sf_dir, "documents"))
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(table(spark, sf_dir, "documents"))
 
@@ -52,6 +56,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op2_mixing": op2_mixing,
     "op3_topk": op3_topk,
     "op4_fingerprints": op4_fingerprints,
