@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from callweave.plans import queries as graph
+
 FLAGSHIP = "get_callees"
 
 
 def queries() -> dict:
-    return {}
+    return dict(graph.QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(graph.ORACLES)
