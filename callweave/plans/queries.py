@@ -168,9 +168,9 @@ def site_disambiguation(read: Facts) -> DataFrame:
     return contexts.ambiguous_sites(read("call_sites"))
 
 
-@query("call_sites_flat", sql="select call_site, caller_usr, type_name, var_name from call_sites_flat where raii_kind = 'lock' and callee_usr = 'p:45'")
+@query("call_sites_flat", sql="select call_site, caller_usr, type_name, var_name from call_sites_flat where raii_kind = 'lock' and callee_usr = 'p:38'")
 def raii_scopes(read: Facts) -> DataFrame:
-    rows = contexts.raii_locals(contexts.for_function(read("call_sites"), "p:45"), ("lock",))
+    rows = contexts.raii_locals(contexts.for_function(read("call_sites"), "p:38"), ("lock",))
     return rows.select("call_site", "caller_usr", F.explode("locals").alias("x")).select("call_site", "caller_usr", "x.type_name", "x.var_name")
 
 
