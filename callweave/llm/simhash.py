@@ -145,12 +145,21 @@ def near_duplicates(docs: DataFrame, words: int = 3, most: int = 3) -> DataFrame
 # leave no equal segments to join on.  So the fingerprint is four times as wide, lies
 # on several rings with bits in another order each, and a chain must start with a seed
 # of two consecutive segments that are equal.  A pair at similarity s shares a seed
-# of SEED bits with probability (1 - angle/pi)**SEED; over RINGS * SEEDS of them 96% of
+# of SEED bits with probability (1 - angle/pi)**SEED; over RINGS * SEEDS of them 95% of
 # the pairs at 0.8, 99.6% at 0.85 and practically all from 0.9 are found.
+#
+# What shares a seed and is close in the chain of the first NEAR_LONGS segments is
+# joined to loose groups; links travel as spanning forests, never as all pairs of a
+# group.  Each document's shingle set is then sent to its loose group once for each
+# block of it, where a wide Hamming check prunes pairs and the sets decide.
 LONGS, RINGS, SEED = 4, 7, 20
 SEEDS = LONGS * BITS // SEED
-#: Of the first 64 and of all 256 bits so many may differ: four and three standard deviations beyond what 0.8 leads to.
-FIRST_BITS, ALL_BITS = 22, 56
+#: Of the first 128 bits so many may differ in a loose group, of WIDE_LONGS * 64 bits in a pair whose sets are compared:
+#: three standard deviations beyond what 0.8 leads to.
+NEAR_LONGS, NEAR_BITS = 2, 32
+WIDE_LONGS, WIDE_BITS = 16, 190
+#: Members of a block of a loose group, on average.
+BLOCK = 256
 
 
 def _ring_orders() -> np.ndarray:
@@ -165,18 +174,80 @@ def _seed_keys(rows: dict, orders: np.ndarray) -> dict:
     powers = np.int64(1) << np.arange(SEED, dtype=np.int64)
     number = np.arange(len(orders), dtype=np.int64) << SEED
     keys = np.stack([bits[:, order].astype(np.int64) @ powers for order in orders], axis=1) + number
-    return {"id": rows["id"], "first": fps[:, 0].tolist(), "keys": keys.tolist()}
+    return {"id": rows["id"], "f0": fps[:, 0].tolist(), "f1": fps[:, 1].tolist(), "keys": keys.tolist()}
+
+
+class Forest:
+    """Union-find over ids; ``join`` says whether two were apart."""
+
+    def __init__(self):
+        self.above: dict[int, int] = {}
+
+    def top(self, x: int) -> int:
+        above, at = self.above, x
+        while (up := above.get(at, at)) != at:
+            at = up
+        while (up := above.get(x, x)) != at:
+            above[x] = at
+            x = up
+        return at
+
+    def join(self, a: int, b: int) -> bool:
+        a, b = self.top(a), self.top(b)
+        if a != b:
+            self.above[max(a, b)] = min(a, b)
+        return a != b
+
+
+def _near_in_groups(key: np.ndarray, ids: np.ndarray, f0: np.ndarray, f1: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of the close pairs with equal keys; ``key`` is sorted."""
+    forest, out = Forest(), []
+    f0, f1 = f0.view(np.uint64), f1.view(np.uint64)
+    at = np.flatnonzero(key[:-1] == key[1:])
+    lag = 1
+    while len(at):
+        other = at + lag
+        apart = np.bitwise_count(f0[at] ^ f0[other]) + np.bitwise_count(f1[at] ^ f1[other])
+        close = apart <= NEAR_BITS
+        out += [(a, b) for a, b in zip(ids[at[close]].tolist(), ids[other[close]].tolist(), strict=True) if a != b and forest.join(a, b)]
+        lag += 1
+        at = at[at + lag < len(key)]
+        at = at[key[at] == key[at + lag]]
+    return out
+
 
+def loose_links(classes: DataFrame) -> DataFrame:
+    """(a, b) of ids of ``classes`` (id, fps): for every seed a spanning forest of the classes that share it and are close.
+
+    Seeds are dealt out by their value and read in order; a group stays in memory at
+    32 bytes a class, of texts that differ.
+    """
+    import pyarrow as pa
 
-def candidates(classes: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of ids of ``classes`` (id, fps) that share a seed and are close in their first 64 bits."""
     orders = _ring_orders()
-    keyed = arrow_map(classes.select("id", "fps"), lambda rows: _seed_keys(rows, orders), "id long, first long, keys array<long>", step=2048)
-    rows = keyed.select("id", "first", F.explode("keys").alias("key"))
-    other = rows.select(F.col("id").alias("id2"), F.col("first").alias("first2"), F.col("key").alias("key2"))
-    near = F.bit_count(F.col("first").bitwiseXOR(F.col("first2"))) <= FIRST_BITS
-    pairs = rows.join(other, (F.col("key") == F.col("key2")) & (F.col("id") < F.col("id2")) & near)
-    return pairs.select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
+    schema = "id long, f0 long, f1 long, keys array<long>"
+    keyed = arrow_map(classes.select("id", "fps"), lambda rows: _seed_keys(rows, orders), schema, step=2048)
+    rows = keyed.select(F.explode("keys").alias("key"), "id", "f0", "f1").repartition("key").sortWithinPartitions("key")
+
+    def run(batches):
+        rest: list[np.ndarray] | None = None
+
+        def found(columns):
+            pairs = _near_in_groups(*columns)
+            return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            if rest is not None:
+                columns = [np.concatenate(x) for x in zip(rest, columns, strict=True)]
+            whole = int(np.searchsorted(columns[0], columns[0][-1])) if len(columns[0]) else 0
+            if whole > 1:
+                yield found([c[:whole] for c in columns])
+            rest = [c[whole:] for c in columns]
+        if rest is not None and len(rest[0]) > 1:
+            yield found(rest)
+
+    return rows.mapInArrow(run, "a long, b long").distinct()
 
 
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -202,14 +273,59 @@ def _words():
     return cut
 
 
+def _verified(members: list[dict], similarity: float) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of a block pair whose sets are similar: both blocks' members, or one block's own."""
+    ids = [m["id"] for m in members]
+    sets = [np.array(m["shingles"], np.int64) for m in members]
+    wide = np.array([majority(s.view(np.uint64), WIDE_LONGS) for s in sets], np.int64).view(np.uint64).reshape(len(sets), WIDE_LONGS)
+    size = np.array([len(s) for s in sets])
+    first = np.array([m["first"] for m in members])
+    mixed = first.any() and not first.all()
+    forest, out = Forest(), []
+    for i in range(len(ids)):
+        rest = np.flatnonzero(~first[i + 1 :] if mixed and first[i] else first[i + 1 :] if mixed else np.ones(len(ids) - i - 1, bool)) + i + 1
+        apart = np.bitwise_count(wide[i] ^ wide[rest]).sum(1, dtype=np.int64)
+        small, large = np.minimum(size[i], size[rest]), np.maximum(size[i], size[rest])
+        for j in rest[(apart <= WIDE_BITS) & (small >= similarity * large)].tolist():
+            if forest.top(ids[i]) != forest.top(ids[j]):
+                common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if common >= similarity * (size[i] + size[j] - common):
+                    forest.join(ids[i], ids[j])
+                    out.append((ids[i], ids[j]))
+    return out
+
+
+def exact_links(sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) from ``sets`` (component, id, shingles): links that connect what similar pairs within a component connect.
+
+    A component is dealt into blocks of about ``BLOCK`` by hash; each pair of blocks is
+    one group, so no task holds more than two blocks.
+    """
+    blocks = sets.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).alias("n")).where("n > 0")
+    rows = sets.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("id"), F.col("n")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    group = [F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")]
+    rows = rows.select("component", *group, "id", "shingles", (F.col("block") <= F.col("other")).alias("first"))
+    lists = rows.groupBy("component", "i", "j").agg(F.collect_list(F.struct("id", "first", "shingles")).alias("members"))
+
+    def work(columns: dict) -> dict:
+        pairs = [p for members in columns["members"] for p in _verified(members, similarity)]
+        return {"a": [p[0] for p in pairs], "b": [p[1] for p in pairs]}
+
+    return arrow_map(lists.select("members"), work, "a long, b long", step=1)
+
+
 def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, hash, group_doc_id, group_hash) for every distinct (doc_id, text) of ``docs``.
 
     ``hash`` is the text's xxhash64.  Documents are in a group if a chain of pairs
-    with a Jaccard similarity of ``similarity`` or more of their sets of ``words``-word
-    shingles connects them; the group is named by its least (doc_id, hash).  Texts with
-    equal shingle sets are one class.  Texts without words form one class.
+    with a Jaccard similarity of ``similarity`` (0.8 or more) or more of their sets of
+    ``words``-word shingles connects them; the group is named by its least (doc_id,
+    hash).  Texts with equal fingerprints of their sets are one class; texts without
+    words form one class.
     """
+    if similarity < 0.8:
+        raise ValueError("the seeds and budgets are made for a similarity of 0.8 or more")
 
     def make():
         cut = _words()
@@ -223,19 +339,11 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     fps = checkpointed(arrow_map(texts, None, "doc_id long, hash long, fps array<long>", make))
     classes = fps.groupBy("fps").agg(F.min(F.struct("doc_id", "hash")).alias("first"))
     classes = checkpointed(classes.withColumn("id", F.monotonically_increasing_id()))
-    left, right = (classes.select(F.col("id").alias(k), F.col("fps").alias(f"fps_{k}")) for k in "ab")
-    apart = sum((F.bit_count(F.col("fps_a")[i].bitwiseXOR(F.col("fps_b")[i])) for i in range(LONGS)), F.lit(0))
-    pairs = checkpointed(candidates(classes).join(left, "a").join(right, "b").where(apart <= ALL_BITS).select("a", "b"))
-    # The pairs are near-duplicates already, few beside the documents; their shingle sets decide.
-    ids = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "id")
-    wanted = classes.join(ids, "id", "left_semi").select("id", F.col("first.doc_id").alias("_d"), F.col("first.hash").alias("_h"))
+    loose = checkpointed(components(loose_links(classes)).withColumnRenamed("node", "id"))
+    wanted = classes.join(loose, "id").select("component", "id", F.col("first.doc_id").alias("_d"), F.col("first.hash").alias("_h"))
     rows = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("hash") == F.col("_h"))).dropDuplicates(["id"])
-    sets = checkpointed(shingle_sets(rows, words))
-    left, right = (sets.select(F.col("id").alias(k), F.col("shingles").alias(f"set_{k}")) for k in "ab")
-    met = pairs.join(left, "a").join(right, "b")
-    common = F.size(F.array_intersect("set_a", "set_b"))
-    links_ = met.where(common >= similarity * (F.size("set_a") + F.size("set_b") - common)).select("a", "b")
-    groups = components(links_).withColumnRenamed("node", "id")
+    sets = checkpointed(shingle_sets(rows, words).join(loose, "id"))
+    groups = components(exact_links(sets, similarity)).withColumnRenamed("node", "id")
     named = checkpointed(classes.join(groups, "id", "left").select("fps", "first", F.coalesce("component", "id").alias("component")))
     best = named.groupBy("component").agg(F.min("first").alias("best"))
     labels = named.join(best, "component").select(F.col("fps").alias("_fps"), "best")
