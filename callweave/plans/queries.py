@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callweave.functions import scalars
-from callweave.operators import channels, checks, contexts, edges, exceptions, fixpoint, identity, liveness, merge, paths, summary
+from callweave.operators import channels, checks, contexts, edges, exceptions, fixpoint, identity, liveness, merge, paths, rewrite, summary
 from callweave.sources.testdata import call_sites, fact, oracle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -673,3 +673,25 @@ def build_stats(read: Facts) -> DataFrame:
 @query("build_stats", sql="select file, cast(sum(ms) as bigint) as ms from build_stats group by 1 order by 2 desc, 1 limit 5")
 def slowest_files(read: Facts) -> DataFrame:
     return merge.slowest(read("build_stats"))
+
+
+# Rewriting
+
+_RULES = [rewrite.Pass("notices", (rewrite.Rule("Licensed?", "[{{root}}]"), rewrite.Rule("MIT Licensed?", "MIT")))]
+
+
+@query("texts", sql="select file, cast(len(regexp_extract_all(text, 'Licensed?')) as bigint) + cast(len(regexp_extract_all(text, 'MIT Licensed?')) as bigint) as n from texts where contains(text, 'License')")
+def morph_replacements(read: Facts) -> DataFrame:
+    return rewrite.replacements(read("texts"), _RULES).groupBy("file").agg(F.count("*").alias("n"))
+
+
+@query("texts", sql="select file, cast(len(regexp_extract_all(text, 'MIT Licensed?')) as bigint) as rejected from texts where contains(text, 'MIT License')")
+def morph_conflicts(read: Facts) -> DataFrame:
+    """The longer pattern comes second and overlaps what the first has taken."""
+    found = rewrite.accepted(rewrite.replacements(read("texts"), _RULES)).where("rejected")
+    return found.groupBy("file").agg(F.count("*").alias("rejected"))
+
+
+@query("texts", sql="select file, md5(regexp_replace(text, '(Licensed?)', '[\\1]', 'g')) as new_md5 from texts")
+def morph_apply(read: Facts) -> DataFrame:
+    return rewrite.run(read("texts"), _RULES).select("file", F.md5("new_text").alias("new_md5"))

@@ -108,6 +108,7 @@ from ({_LI}) li join part on p_partkey = l_partkey where l_partkey % 8 = 0 and l
     "stamps_old": "select 'f' || cast(o_orderkey as string) as path, cast(o_custkey as bigint) as mtime_ns, cast(o_orderkey % 100 as bigint) as size from orders where o_orderkey % 5 <> 0",
     "stamps_new": "select 'f' || cast(o_orderkey as string) as path, cast(case when o_orderkey % 7 = 0 then o_custkey + 1 else o_custkey end as bigint) as mtime_ns, cast(o_orderkey % 100 as bigint) as size from orders where o_orderkey % 6 <> 0",
     "journal": "select cast(event_id as bigint) as seq, 'tu' || cast(user_id as string) as tu_path, cast(user_id % 3 as bigint) as stamp, event_type as state from events where event_type in ('click', 'view', 'purchase')",
+    "texts": "select 'd' || cast(doc_id as string) as file, coalesce(text, '') as text from documents",
     "build_stats": "select 'tu' || cast(event_id % 200 as string) as file, event_type as phase, cast(event_id % 1000 as bigint) as ms, cast(case user_id % 9 when 0 then 1 when 1 then 2 when 2 then -1 else 0 end as int) as tool_status from events",
 }
 
