@@ -72,10 +72,10 @@ select distinct coalesce(source, '') as qualified_name, coalesce(lang, '') as si
     "default_args": """
 select distinct coalesce(source, '') as qualified_name, coalesce(lang, '') as signature, cast(doc_id % 3 as int) as param_index,
   cast((n_chars // 1000) % 3 as string) as default_text, 'inc/d' || cast(doc_id % 7 as string) || '.h' as file_path, cast(doc_id % 11 as int) as line
-from documents where doc_id % 5 < 2""",
+from documents""",
     "exception_specs": """
 select distinct 'c' || cast(o_custkey % 200 as string) as qualified_name, o_orderpriority as signature, o_orderstatus = 'F' as is_noexcept,
-  'inc/e' || cast(o_orderkey % 13 as string) || '.h' as file_path, cast(o_orderkey % 5 as int) as line from orders where o_orderkey % 4 = 0""",
+  'inc/e' || cast(o_orderkey % 13 as string) || '.h' as file_path, cast(o_orderkey % 5 as int) as line from orders""",
     "header_statics_flat": """
 select distinct 'g' || cast(o_custkey as string) as name, 'inc/h' || cast(o_custkey % 40 as string) || '.h' as file_path, cast(o_custkey as int) as line,
   o_custkey % 3 = 0 as is_const, 'tu' || cast(o_orderkey % 16 as string) as tu_path from orders""",
@@ -86,22 +86,22 @@ select p_brand as enclosing_class, p_name as qualified_name, 'p:' || cast(p_part
 select 'p:' || cast(p_partkey as string) as qualified_name, 'lib/' || p_brand || '.cpp' as file_path, cast(p_partkey as int) as line,
   p_size % 7 = 0 as is_noexcept, p_size = 50 as has_uncaught_throw, p_partkey % 10 = 0 as dynamic_init, p_partkey % 4 = 0 as is_constructor_fn from part""",
     "fn_calls": "select 'p:' || cast(p_partkey // 2 as string) as caller, 'p:' || cast(p_partkey as string) as callee, p_partkey % 3 <> 0 as unguarded from part where p_partkey // 2 > 0",
-    "fn_globals": "select 'p:' || cast(p_partkey as string) as func, 'p:' || cast((p_partkey * 7) % 2000 as string) as global from part where p_partkey % 5 = 0",
+    "fn_globals": "select 'p:' || cast(p_partkey as string) as func, 'p:' || cast((p_partkey * 7) % 2000 as string) as global from part",
     "overloads_flat": """
 select p_name as qualified_name, 'inc/' || p_brand || '.h' as header_path, cast(p_partkey as bigint) as seq, cast(p_partkey % 1000 as int) as source_line,
   case p_size % 4 when 0 then 'Vector' when 1 then 'Matrix' when 2 then 'const Vector &' else 'Vector' end as t0,
-  case p_size % 6 when 0 then 'int' when 1 then 'double' when 2 then 'float' when 3 then 'Mile' when 4 then 'unsigned int' else 'long' end as t1 from part where p_partkey % 8 = 0""",
+  case p_size % 6 when 0 then 'int' when 1 then 'double' when 2 then 'float' when 3 then 'Mile' when 4 then 'unsigned int' else 'long' end as t1 from part""",
     "adl_flat": f"""
 select tu as tu_path, 'order.cpp:' || cast(l_orderkey as string) || ':' || cast(l_linenumber as string) as call_location, p_name as qualified_name,
   case p_size % 4 when 0 then 'Vector' when 1 then 'Matrix' when 2 then 'const Vector &' else 'Vector' end as r0,
   case p_size % 6 when 0 then 'int' when 1 then 'double' when 2 then 'float' when 3 then 'Mile' when 4 then 'unsigned int' else 'long' end as r1,
   'Vector' as a0, case l_linenumber % 3 when 0 then 'int' when 1 then 'double' else 'long' end as a1
-from ({_LI}) li join part on p_partkey = l_partkey where l_partkey % 8 = 0 and l_orderkey % 5 = 0""",
+from ({_LI}) li join part on p_partkey = l_partkey""",
     "tu_includes": "select distinct 'tu' || cast(p_partkey % 16 as string) as tu_path, 'inc/' || p_brand || '.h' as file from part where p_size % 2 = 0",
-    "deduction_guides": "select p_type as template_name, 'inc/' || p_brand || '.h' as header_path, 'D' || cast(p_size % 3 as string) as deduced_type from part where p_partkey % 6 = 0",
-    "ctad_vars": f"select tu as tu_path, 'ctad.cpp:' || cast(l_orderkey as string) || ':' || cast(l_linenumber as string) as call_location, p_type as template_name, 'D' || cast(l_linenumber % 3 as string) as deduced_type from ({_LI}) li join part on p_partkey = l_partkey where l_orderkey % 11 = 0",
+    "deduction_guides": "select p_type as template_name, 'inc/' || p_brand || '.h' as header_path, 'D' || cast(p_size % 3 as string) as deduced_type from part",
+    "ctad_vars": f"select tu as tu_path, 'ctad.cpp:' || cast(l_orderkey as string) || ':' || cast(l_linenumber as string) as call_location, p_type as template_name, 'D' || cast(l_linenumber % 3 as string) as deduced_type from ({_LI}) li join part on p_partkey = l_partkey",
     "specializations": "select distinct p_type as template_name, p_brand as args_string, 'inc/' || p_brand || '.h' as header_path from part",
-    "instantiations": f"select tu as tu_path, p_type as template_name, p_brand as args_string, 'inst.cpp:' || cast(l_orderkey as string) || ':' || cast(l_linenumber as string) as point_of_instantiation from ({_LI}) li join part on p_partkey = l_partkey where l_orderkey % 7 = 0",
+    "instantiations": f"select tu as tu_path, p_type as template_name, p_brand as args_string, 'inst.cpp:' || cast(l_orderkey as string) || ':' || cast(l_linenumber as string) as point_of_instantiation from ({_LI}) li join part on p_partkey = l_partkey",
     "type_bases": "select distinct p_type || '/' || p_brand as derived, p_type as base from part union select distinct p_type, split_part(p_type, ' ', 1) from part",
     "type_ctor_edges": "select distinct p_brand as to_type, p_type as from_type from part where p_size = 7",
     "type_conv_edges": "select distinct p_type as from_type, p_brand as to_type from part where p_size = 9",
