@@ -11,8 +11,7 @@ make its own lines boilerplate.  It comes in three steps, each for what the one
 3. lines whose estimate is within the sketch's error of the threshold get exact
    distinct counts; estimates further off decide themselves.
 
-A document that would lose more than half of its text is a copy itself rather than a
-page with a frame around it, and keeps all of it; document dedup is there for those.
+Every such line goes from every document, whatever share of the document it is.
 
 Lines are keyed by 96 bits of hash.  Removing needs the keys of each
 document's boilerplate lines only, so texts meet them in one join by document.
@@ -89,8 +88,6 @@ def cleaned(docs: DataFrame, sites: int = SITES, words: int = MIN_WORDS) -> Data
     stays = lambda line: ~(_long_enough(line, words) & F.array_contains("_bad", line_key(line)))
     kept = F.filter(F.split("text", "\n"), stays)
     rows = rows.withColumn("_kept", F.when(F.col("_bad").isNotNull(), kept))
-    copied = F.length(F.array_join("_kept", "\n")) * 2 < F.length("text")
-    rows = rows.withColumn("_kept", F.when(~copied, F.col("_kept")))
     return rows.select(
         *docs.columns,
         F.when(F.col("_kept").isNull(), F.col("text")).otherwise(F.array_join("_kept", "\n")).alias("new_text"),
