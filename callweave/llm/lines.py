@@ -1,11 +1,11 @@
 """Line dedup: lines that spread over many distinct sites are boilerplate.
 
-The spread of a line is the number of distinct sources it occurs on, where all copies
-of one text count at one of them: a document that was copied to many sites does not
-make its own lines boilerplate.  It comes in three steps, each for what the one before leaves open:
+The spread of a line is the number of distinct sources it occurs on.  A line that only
+one text has is no boilerplate on however many sites that text is: a document that was
+copied does not make its own lines boilerplate.  It comes in three steps, each for what the one before leaves open:
 
-1. one cheap aggregate by line hash keeps the least and the greatest hash of a site; where
-   they are equal the spread is one, which settles nearly all lines;
+1. one cheap aggregate by line hash keeps the least and the greatest hash of a site and of
+   a text; where either two are equal there is one site or one text, which settles nearly all lines;
 2. HyperLogLog sketches of the sites of the other lines merge by aggregation, with
    bounded memory however many sites a line is on;
 3. lines whose estimate is within the sketch's error of the threshold get exact
@@ -52,17 +52,19 @@ def _lines(docs: DataFrame, words: int) -> DataFrame:
 
 
 def spread(docs: DataFrame, sites: int = SITES, words: int = MIN_WORDS) -> DataFrame:
-    """(x, m, rows, estimate, sites, boilerplate) for every line key that is on two sites or more.
+    """(x, m, rows, estimate, sites, boilerplate) for every line key that is on two sites and in two texts or more.
 
     ``sites`` is the exact spread where the estimate was near the threshold, or else
     the estimate rounded; ``boilerplate`` is whether it reaches ``sites``.
     """
     lines = _lines(docs, words)
-    wide = lines.groupBy("x", "m").agg(F.count("*").alias("rows"), F.min(F.xxhash64("site")).alias("_a"), F.max(F.xxhash64("site")).alias("_b"))
-    wide = checkpointed(wide.where("_a <> _b").select("x", "m", "rows"))
+    at = F.xxhash64("site")
+    wide = lines.groupBy("x", "m").agg(
+        F.count("*").alias("rows"), F.min(at).alias("_least_site"), F.max(at).alias("_most_site"), F.min("hash").alias("_least_text"), F.max("hash").alias("_most_text")
+    )
+    wide = checkpointed(wide.where("_least_site <> _most_site and _least_text <> _most_text").select("x", "m", "rows"))
     # One row for each line and site before sketching: a hot line then costs no more than its sites.
-    texts = lines.join(wide.select("x", "m"), ["x", "m"], "left_semi").groupBy("x", "m", "hash").agg(F.min("site").alias("site"))
-    pairs = checkpointed(texts.select("x", "m", "site").distinct())
+    pairs = checkpointed(lines.join(wide.select("x", "m"), ["x", "m"], "left_semi").select("x", "m", "site").distinct())
     sketched = pairs.groupBy("x", "m").agg(F.hll_sketch_agg("site", LG_K).alias("sketch"))
     rated = sketched.select("x", "m", F.hll_sketch_estimate("sketch").alias("estimate"))
     rated = checkpointed(rated.withColumn("near", F.abs(F.col("estimate") - sites) <= F.greatest(F.lit(1.0), F.col("estimate") * MARGIN)))
