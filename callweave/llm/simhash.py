@@ -145,8 +145,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, most: int = 3) -> DataFrame
 # leave no equal segments to join on.  So the fingerprint is four times as wide, lies
 # on several rings with bits in another order each, and a chain must start with a seed
 # of two consecutive segments that are equal.  A pair at similarity s shares a seed
-# of SEED bits with probability (1 - angle/pi)**SEED; over RINGS * SEEDS of them 95% of
-# the pairs at 0.8, 99.6% at 0.85 and practically all from 0.9 are found.
+# of SEED bits with probability (1 - angle/pi)**SEED.  This is not complete: README has
+# the share of pairs found by size, which is least for texts of a few shingles.
 #
 # What shares a seed and is close in the chain of the first NEAR_LONGS segments is
 # joined to loose groups; links travel as spanning forests, never as all pairs of a
@@ -154,8 +154,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, most: int = 3) -> DataFrame
 # block of it, where a wide Hamming check prunes pairs and the sets decide.
 LONGS, RINGS, SEED = 4, 7, 20
 SEEDS = LONGS * BITS // SEED
-#: Of the first 128 bits so many may differ in a loose group, of WIDE_LONGS * 64 bits in a pair whose sets are compared:
-#: three standard deviations beyond what 0.8 leads to.
+#: Of the first 128 bits so many may differ in a loose group, of WIDE_LONGS * 64 bits in a pair whose sets are compared.
+#: Few pairs at 0.8 are beyond, but half of those with four shingles against five.
 NEAR_LONGS, NEAR_BITS = 2, 32
 WIDE_LONGS, WIDE_BITS = 16, 190
 #: Members of a block of a loose group, on average.
