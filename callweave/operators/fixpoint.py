@@ -1,28 +1,55 @@
 """Fixpoints over edge tables: reachability, least distances and transitive closure.
 
 Each level joins the frontier to the edges and removes what was seen; every few
-levels the lineage is cut with a reliable checkpoint in the shared folder.  Only an
-emptiness test reaches the driver.
+levels the lineage is cut by a table written to the shared folder.  Only an emptiness
+test reaches the driver.
 """
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Levels of any unbounded walk at most: a guard, not a limit of the semantics.
 MOST_LEVELS = 10_000
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
+
+    A local session that has none gets a temporary one; on a cluster that is an error.
+    """
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not (context.master == "local" or context.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder; what is written there goes when the session ends."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return path.toString()
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder that is no longer read."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint in ``spark.checkpoint.dir`` (a temporary folder only where a session has none)."""
-    spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint(eager=True)
+    """Cut the lineage: the rows as a Parquet table in the shared folder."""
+    spark, folder = df.sparkSession, new_folder(df.sparkSession, "table")
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
 
 
 def min_dist(starts: DataFrame, edges: DataFrame, max_depth: int | None = None, key: str | None = None) -> DataFrame:
@@ -52,15 +79,16 @@ def min_dist(starts: DataFrame, edges: DataFrame, max_depth: int | None = None,
 def closure(pairs: DataFrame, src: str, dst: str) -> DataFrame:
     """All (src, dst) with ``dst`` reachable from ``src``; cycles are safe, a start is not its own result.
 
-    Path doubling: the pairs known so far are joined to themselves, so a chain of
-    length n takes log2(n) rounds.
+    Path doubling: round k knows every pair at a distance up to 2**k, and only the
+    pairs that were new in the last round are joined to all, on their left.  So a chain
+    of length n takes log2(n) rounds, and no pair of old ones meets again.
     """
     known = cut(pairs.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a <> b").distinct())
+    fresh = known
     while True:
         right = known.select(F.col("a").alias("m"), F.col("b").alias("c"))
-        wider = known.join(right, F.col("b") == F.col("m")).select("a", F.col("c").alias("b")).where("a <> b")
-        new = wider.join(known, ["a", "b"], "left_anti").distinct()
-        new = cut(new)
-        if new.isEmpty():
+        wider = fresh.join(right, F.col("b") == F.col("m")).select("a", F.col("c").alias("b")).where("a <> b")
+        fresh = cut(wider.join(known, ["a", "b"], "left_anti").distinct())
+        if fresh.isEmpty():
             return known.select(F.col("a").alias(src), F.col("b").alias(dst))
-        known = known.unionByName(new)  # a flat union of checkpoints
+        known = known.unionByName(fresh)  # a flat union of written tables
