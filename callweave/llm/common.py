@@ -1,14 +1,17 @@
-"""What the training-data operators share: table access, checkpoints, Arrow maps."""
+"""What the training-data operators share: table access, written tables, Arrow maps."""
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from callweave.operators.fixpoint import cut, new_folder, remove, shared_folder
+
+__all__ = ["BLANKS", "arrow_map", "cut", "new_folder", "packed", "remove", "shared_folder", "table", "text_of", "unpacked"]
+
 #: Blank characters of every word pattern here: space, tab, LF, VT, FF, CR.
 BLANKS = r"\x20\x09-\x0D"
 
@@ -17,25 +20,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
-
-    Only a session that has none (a local test) gets a temporary one.
-    """
-    context = spark.sparkContext._jsc.sc()
-    if context.getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    return context.getCheckpointDir().get()
+def packed(docs: DataFrame) -> Column:
+    """All columns of a row as one struct, so that no name of the caller's meets one of an operator's."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+def unpacked(docs: DataFrame, row: str = "row", **new: Column) -> list[Column]:
+    """The columns of ``docs`` out of the struct ``row``; those in ``new`` are replaced, in their own type."""
+    kinds = dict(docs.dtypes)
+    return [(new[c].cast(kinds[c]) if c in new else F.col(row).getField(c)).alias(c) for c in docs.columns]
 
 
 def arrow_map(
-    df: DataFrame, rows: Callable[[list[dict]], list[dict]] | None, schema: str, make: Callable | None = None, step: int = 512
+    df: DataFrame, rows: Callable[[dict], dict] | None, schema: str, make: Callable | None = None, step: int = 512
 ) -> DataFrame:
     """``mapInArrow`` in slices of ``step`` rows, columns as Python lists.
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callweave.llm.common import checkpointed
+from callweave.llm.common import cut
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
@@ -39,10 +39,10 @@ def components(links: DataFrame) -> DataFrame:
     Repeated links, loops and either direction are allowed; a node with only a loop
     is not returned, and an empty table gives an empty result.
     """
-    links = checkpointed(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    links = cut(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = _state(links)
     while state[0]:
-        links = checkpointed(_star(_star(links, large=True), large=False))
+        links = cut(_star(_star(links, large=True), large=False))
         if (now := _state(links)) == state:
             break
         state = now

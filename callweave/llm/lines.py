@@ -1,20 +1,19 @@
 """Line dedup: lines that spread over many distinct sites are boilerplate.
 
-The spread of a line is the number of distinct sources it occurs on.  A line that only
-one text has is no boilerplate on however many sites that text is: a document that was
-copied does not make its own lines boilerplate.  It comes in three steps, each for what the one before leaves open:
+The spread of a line is the number of distinct sources it occurs on, whatever the
+texts it stands in.  Lines are hashed once to a narrow table, from which
 
-1. one cheap aggregate by line hash keeps the least and the greatest hash of a site and of
-   a text; where either two are equal there is one site or one text, which settles nearly all lines;
-2. HyperLogLog sketches of the sites of the other lines merge by aggregation, with
-   bounded memory however many sites a line is on;
-3. lines whose estimate is within the sketch's error of the threshold get exact
-   distinct counts; estimates further off decide themselves.
+1. HyperLogLog sketches of the sites of each line hash are built beside the rows and
+   merge by aggregation, with bounded memory however many rows or sites a line has;
+2. lines whose estimate is further from the threshold than the sketch's error are
+   decided by it;
+3. the others get exact distinct counts.
 
-Every such line goes from every document, whatever share of the document it is.
+Every line at the threshold goes from every document, whatever share of it that is.
 
-Lines are keyed by 96 bits of hash.  Removing needs the keys of each
-document's boilerplate lines only, so texts meet them in one join by document.
+A line is keyed by 96 bits of hash.  Key tables meet the line table by broadcast while
+they have at most ``MOST_BROADCAST`` rows, else by a join that deals each key over
+``SALTS`` tasks, so a line that a third of all documents have is no single task's.
 DataFrame expressions only.
 """
 
@@ -23,96 +22,115 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callweave.llm.common import BLANKS, checkpointed
+from callweave.llm.common import BLANKS, cut, packed, unpacked
 
-#: A line on so many sites is boilerplate; shorter lines than so many words never are.
-SITES, MIN_WORDS = 4, 3
+#: A line on so many sites is boilerplate; shorter lines than so many words, or lines of fewer distinct texts, never are.
+SITES, MIN_WORDS, MIN_TEXTS = 4, 1, 1
 #: log2 of a sketch's registers, and six standard errors of its estimate.
 LG_K = 11
 MARGIN = 6 * 1.04 / (1 << LG_K) ** 0.5
+#: Keys (12 bytes each) that are broadcast at most, and parts of each key beyond that.
+MOST_BROADCAST, SALTS = 1_000_000, 64
 
 _TRIM = f"^[{BLANKS}]+|[{BLANKS}]+$"
 
 
-def line_key(line: Column) -> Column:
-    """96 bits that name a line without the blanks around it; null if it has too few words."""
-    bare = F.regexp_replace(line, _TRIM, "")
-    return F.struct(F.xxhash64(bare).alias("x"), F.hash(bare).alias("m"))
-
-
 def _long_enough(line: Column, words: int) -> Column:
     return line.rlike(rf"(?:[^{BLANKS}]+[{BLANKS}]+){{{words - 1}}}[^{BLANKS}]") if words > 1 else line.rlike(f"[^{BLANKS}]")
 
 
-def _lines(docs: DataFrame, words: int) -> DataFrame:
-    lines = docs.select("doc_id", F.xxhash64("text").alias("hash"), F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")).alias("site"), F.explode(F.split("text", "\n")).alias("line"))
-    return lines.where(_long_enough(F.col("line"), words)).select("doc_id", "hash", "site", line_key(F.col("line")).alias("key")).select(
-        "doc_id", "hash", "site", "key.x", "key.m"
-    )
+def line_table(docs: DataFrame, words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, hash, site, at, x, m) for every line of ``words`` words or more of ``docs`` (doc_id, text, source).
+
+    ``hash`` names the text, ``site`` the source (null is one more), ``at`` the place
+    among the lines, ``x`` and ``m`` the line without the blanks around it.
+    """
+    site = F.xxhash64(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")))
+    lines = docs.select("doc_id", F.xxhash64("text").alias("hash"), site.alias("site"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    bare = lines.where(_long_enough(F.col("line"), words)).withColumn("line", F.regexp_replace("line", _TRIM, ""))
+    return bare.select("doc_id", "hash", "site", "at", F.xxhash64("line").alias("x"), F.hash("line").alias("m"))
+
 
+def _meet(rows: DataFrame, keys: DataFrame, by: list[str]) -> DataFrame:
+    """Rows whose (x, m) is among the distinct ``keys``; beyond a broadcast each key's rows are dealt out by their ``by``."""
+    if keys.count() <= MOST_BROADCAST:
+        return rows.join(F.broadcast(keys), ["x", "m"], "left_semi")
+    salted = keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.hash(*by), F.lit(SALTS))).join(salted, ["x", "m", "salt"], "left_semi").drop("salt")
 
-def spread(docs: DataFrame, sites: int = SITES, words: int = MIN_WORDS) -> DataFrame:
-    """(x, m, rows, estimate, sites, boilerplate) for every line key that is on two sites and in two texts or more.
 
-    ``sites`` is the exact spread where the estimate was near the threshold, or else
-    the estimate rounded; ``boilerplate`` is whether it reaches ``sites``.
+def spread_of(lines: DataFrame, sites: int = SITES, texts: int = MIN_TEXTS) -> DataFrame:
+    """(x, m, rows, estimate, sites, boilerplate) for every key of a ``line_table``.
+
+    ``sites`` is the exact spread where the estimate is near the threshold, else the
+    estimate; ``boilerplate`` says whether it reaches ``sites``.  ``texts`` of 2 makes
+    lines that only one text has no boilerplate, however often that text was copied.
     """
-    lines = _lines(docs, words)
-    at = F.xxhash64("site")
-    wide = lines.groupBy("x", "m").agg(
-        F.count("*").alias("rows"), F.min(at).alias("_least_site"), F.max(at).alias("_most_site"), F.min("hash").alias("_least_text"), F.max("hash").alias("_most_text")
-    )
-    wide = checkpointed(wide.where("_least_site <> _most_site and _least_text <> _most_text").select("x", "m", "rows"))
-    # One row for each line and site before sketching: a hot line then costs no more than its sites.
-    pairs = checkpointed(lines.join(wide.select("x", "m"), ["x", "m"], "left_semi").select("x", "m", "site").distinct())
-    sketched = pairs.groupBy("x", "m").agg(F.hll_sketch_agg("site", LG_K).alias("sketch"))
-    rated = sketched.select("x", "m", F.hll_sketch_estimate("sketch").alias("estimate"))
-    rated = checkpointed(rated.withColumn("near", F.abs(F.col("estimate") - sites) <= F.greatest(F.lit(1.0), F.col("estimate") * MARGIN)))
-    exact = pairs.join(rated.where("near").select("x", "m"), ["x", "m"], "left_semi").groupBy("x", "m").agg(F.count("*").alias("exact"))
-    found = wide.join(rated, ["x", "m"]).join(exact, ["x", "m"], "left")
-    return found.withColumn("sites", F.coalesce("exact", "estimate")).select(
-        "x", "m", "rows", "estimate", "sites", (F.col("sites") >= sites).alias("boilerplate")
-    )
+    if texts not in (1, 2):
+        raise ValueError("texts is 1 or 2")
+    several = F.lit(True) if texts == 1 else F.min("hash") != F.max("hash")
+    keyed = lines.groupBy("x", "m").agg(F.count("*").alias("rows"), F.hll_sketch_agg("site", LG_K).alias("sketch"), several.alias("several"))
+    keyed = keyed.select("x", "m", "rows", "several", F.hll_sketch_estimate("sketch").alias("estimate"))
+    off = F.abs(F.col("estimate") - sites)
+    keyed = cut(keyed.withColumn("near", off <= F.greatest(F.lit(1.0), F.col("estimate") * MARGIN)))
+    pairs = lines.select("x", "m", "site").distinct()
+    exact = _meet(pairs, cut(keyed.where("near and several").select("x", "m")), ["site"]).groupBy("x", "m").agg(F.count("*").alias("exact"))
+    found = keyed.join(exact, ["x", "m"], "left").withColumn("sites", F.coalesce("exact", "estimate"))
+    return found.select("x", "m", "rows", "estimate", "sites", (F.col("several") & (F.col("sites") >= sites)).alias("boilerplate"))
+
+
+def spread(docs: DataFrame, sites: int = SITES, words: int = MIN_WORDS, texts: int = MIN_TEXTS) -> DataFrame:
+    """``spread_of`` the lines of ``docs``."""
+    return spread_of(cut(line_table(docs, words)), sites, texts)
+
 
+def _without(text: Column, gone: Column) -> Column:
+    """The text without the lines at the sorted places ``gone``: what stands between them is joined again."""
+    whole = F.struct(F.split(text, "\n").alias("lines"), gone.alias("gone"))
 
-def cleaned(docs: DataFrame, sites: int = SITES, words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with ``new_text``, the text without boilerplate lines, and ``removed``, their number.
+    def joined(s: Column) -> Column:
+        start = F.concat(F.array(F.lit(0)), F.transform(s["gone"], lambda p: p + 1))
+        end = F.concat(s["gone"], F.array(F.size(s["lines"])))
+        runs = F.filter(F.zip_with(start, end, lambda a, b: F.struct(a.alias("a"), (b - a).alias("n"))), lambda r: r["n"] > 0)
+        return F.array_join(F.transform(runs, lambda r: F.array_join(F.slice(s["lines"], r["a"] + 1, r["n"]), "\n")), "\n")
 
-    Lines are what stands between line feeds; other lines keep their place and
-    bytes.  A null text stays null.  A null
-    source counts as one more site.  Repeated rows are cleaned each.
+    # Bound as a lambda's variable, so that the text is split once.
+    return F.get(F.transform(F.array(whole), joined), 0)
+
+
+def cleaned(docs: DataFrame, sites: int = SITES, words: int = MIN_WORDS, texts: int = MIN_TEXTS) -> DataFrame:
+    """(row, new_text, removed): every row of ``docs`` as a struct, its text without boilerplate lines, their number.
+
+    Lines are what stands between line feeds; other lines keep their place and bytes,
+    lines of blanks alone are never boilerplate.  A null text stays null, a null source
+    counts as one more site.  Repeated rows are cleaned each.  Columns of any name may
+    stand beside doc_id, text and source.
     """
-    bad = checkpointed(spread(docs, sites, words).where("boilerplate").select("x", "m"))
-    hits = _lines(docs, words).join(bad, ["x", "m"]).select("doc_id", "hash", "x", "m").distinct()
-    hits = hits.groupBy(F.col("doc_id").alias("_d"), F.col("hash").alias("_h")).agg(F.collect_list(F.struct("x", "m")).alias("_bad"))
-    rows = docs.withColumn("_hash", F.xxhash64("text"))
-    rows = rows.join(hits, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_hash") == F.col("_h")), "left")
-    stays = lambda line: ~(_long_enough(line, words) & F.array_contains("_bad", line_key(line)))
-    kept = F.filter(F.split("text", "\n"), stays)
-    rows = rows.withColumn("_kept", F.when(F.col("_bad").isNotNull(), kept))
-    return rows.select(
-        *docs.columns,
-        F.when(F.col("_kept").isNull(), F.col("text")).otherwise(F.array_join("_kept", "\n")).alias("new_text"),
-        F.when(F.col("_kept").isNull(), 0).otherwise(F.size(F.split("text", "\n")) - F.size("_kept")).cast("long").alias("removed"),
-    )
+    lines = cut(line_table(docs, words))
+    bad = cut(spread_of(lines, sites, texts).where("boilerplate").select("x", "m"))
+    hits = _meet(lines, bad, ["doc_id", "hash"])
+    hits = hits.groupBy(F.col("doc_id").alias("d"), F.col("hash").alias("h")).agg(F.sort_array(F.collect_set("at")).alias("gone"))
+    rows = docs.select(packed(docs).alias("row"), "doc_id", "text", F.xxhash64("text").alias("hash"))
+    rows = rows.join(hits, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("hash") == F.col("h")), "left")
+    new = F.when(F.col("gone").isNull(), F.col("text")).otherwise(_without(F.col("text"), F.col("gone")))
+    return rows.select("row", new.alias("new_text"), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("removed"))
 
 
-def dedup(docs: DataFrame, sites: int = SITES, words: int = MIN_WORDS) -> DataFrame:
+def dedup(docs: DataFrame, sites: int = SITES, words: int = MIN_WORDS, texts: int = MIN_TEXTS) -> DataFrame:
     """``docs`` with the cleaned text in place of the text, ``n_chars`` brought up to date if it is there."""
-    done = cleaned(docs, sites, words)
-    n = F.coalesce(F.length("new_text"), F.lit(0)).cast("long")
-    as_before = {"text": F.col("new_text"), "n_chars": n}
-    return done.select(*[as_before.get(c, F.col(c)).alias(c) for c in docs.columns])
+    done = cleaned(docs, sites, words, texts)
+    return done.select(*unpacked(docs, text=F.col("new_text"), n_chars=F.coalesce(F.length("new_text"), F.lit(0))))
 
 
 def report(docs: DataFrame) -> DataFrame:
     """The op7 report: lines removed from every document and a digest of what stays."""
+    new = F.coalesce("new_text", F.lit(""))
     return cleaned(docs).select(
-        "doc_id",
-        F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines"),
+        F.col("row.doc_id").alias("doc_id"),
+        F.size(F.split(F.coalesce("row.text", F.lit("")), "\n")).cast("long").alias("n_lines"),
         F.col("removed").alias("n_removed"),
-        F.length(F.coalesce("new_text", F.lit(""))).cast("long").alias("n_chars"),
-        F.md5(F.coalesce("new_text", F.lit(""))).alias("text_md5"),
+        F.length(new).cast("long").alias("n_chars"),
+        F.md5(new).alias("text_md5"),
     )
 
 
@@ -126,22 +144,16 @@ with docs as (
   from docs where text is not null
 ), bare as (
   select *, regexp_replace(line, '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g') as b,
-         regexp_matches(line, '(?:[^\\x20\\x09-\\x0D]+[\\x20\\x09-\\x0D]+){{{MIN_WORDS - 1}}}[^\\x20\\x09-\\x0D]') as ok
+         regexp_matches(line, '[^\\x20\\x09-\\x0D]') as ok
   from lines
-), paged as (
-  select b, text, min(coalesce('s' || docs.source, '')) as site from bare join docs using (r) where ok group by b, text
 ), bad as (
-  select b from paged group by b having count(distinct site) >= {SITES}
+  select b from bare join docs using (r) where ok group by b having count(distinct coalesce('s' || docs.source, '')) >= {SITES}
 ), kept as (
   select r, count(*) as n, count(*) filter (ok and b in (select b from bad)) as removed,
          string_agg(line, chr(10) order by i) filter (not (ok and b in (select b from bad))) as short
   from bare group by r
-), done as (
-  select d.doc_id, coalesce(k.n, 1) as n, coalesce(d.text, '') as text, coalesce(k.short, '') as short, coalesce(k.removed, 0) as removed,
-         length(coalesce(k.short, '')) * 2 >= length(coalesce(d.text, '')) as cut
-  from docs d left join kept k on d.r = k.r
 )
-select doc_id, cast(n as bigint) as n_lines, cast(case when cut then removed else 0 end as bigint) as n_removed,
-       cast(length(case when cut then short else text end) as bigint) as n_chars, md5(case when cut then short else text end) as text_md5
-from done
+select d.doc_id, cast(coalesce(k.n, 1) as bigint) as n_lines, cast(coalesce(k.removed, 0) as bigint) as n_removed,
+       cast(length(coalesce(k.short, '')) as bigint) as n_chars, md5(coalesce(k.short, '')) as text_md5
+from docs d left join kept k on d.r = k.r
 """

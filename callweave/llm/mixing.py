@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from callweave.llm.common import BLANKS, checkpointed
+from callweave.llm.common import BLANKS, cut
 
 #: Documents rounded one after the other in one group, on average.
 GROUP = 96
@@ -141,12 +141,12 @@ def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = S
     rows = rows.withColumn("p", F.coalesce(F.col("rows") * (due - F.floor(due)), F.lit(0.0)))
     rows = rows.withColumn("p", F.col("p") - F.floor(F.col("p"))).withColumn("take", F.lit(0))
     fractional = (F.col("p") > EPSILON) & (F.col("p") < 1 - EPSILON)
-    rows = checkpointed(rows)
+    rows = cut(rows)
     whole = rows.where(~fractional).withColumn("take", F.when(F.col("p") >= 0.5, 1).otherwise(0))
     done = [whole.select("source", *_NAMES_OUT)]
     rest, n, classes = rows.where(fractional), 0, True
     while True:
-        level = checkpointed(_level(rest, n, classes))
+        level = cut(_level(rest, n, classes))
         done.append(level.select("source", F.explode("done").alias("x")).select("source", *[f"x.{c}" for c in _NAMES_OUT]))
         rest = level.where(F.col("rest").isNotNull()).select("source", "rest.*")
         most_left = rest.groupBy("source").count().agg(F.max("count")).first()[0] or 0

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callweave.llm.common import BLANKS, arrow_map, checkpointed
+from callweave.llm.common import BLANKS, arrow_map, cut
 from callweave.llm.components import components
 
 #: Segments of a 64-bit fingerprint on its ring.
@@ -128,11 +128,11 @@ def near_duplicates(docs: DataFrame, words: int = 3, most: int = 3) -> DataFrame
     ``component_id`` is the least doc_id that is reachable over links, the row's own
     included.  Null doc_ids count only where a component has no other.
     """
-    fps = checkpointed(fingerprints(docs, words).select("doc_id", F.col("fps")[0].alias("fp")))
-    classes = checkpointed(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    fps = cut(fingerprints(docs, words).select("doc_id", F.col("fps")[0].alias("fp")))
+    classes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
     groups = components(links(classes, most)).select(F.col("node").alias("fp"), "component")
     # Of each class the component (its own fingerprint if it has no links), then the least document of each component.
-    named = checkpointed(classes.join(groups, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component")))
+    named = cut(classes.join(groups, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component")))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     labels = named.join(least, "component").select(F.col("fp").alias("_fp"), "component_id")
     found = fps.join(labels, F.col("fp") == F.col("_fp"))
@@ -336,15 +336,15 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
         return lambda rows: {"doc_id": rows["doc_id"], "hash": rows["hash"], "fps": [one(t) for t in rows["text"]]}
 
     texts = docs.select("doc_id", F.xxhash64("text").alias("hash"), "text")
-    fps = checkpointed(arrow_map(texts, None, "doc_id long, hash long, fps array<long>", make))
+    fps = cut(arrow_map(texts, None, "doc_id long, hash long, fps array<long>", make))
     classes = fps.groupBy("fps").agg(F.min(F.struct("doc_id", "hash")).alias("first"))
-    classes = checkpointed(classes.withColumn("id", F.monotonically_increasing_id()))
-    loose = checkpointed(components(loose_links(classes)).withColumnRenamed("node", "id"))
+    classes = cut(classes.withColumn("id", F.monotonically_increasing_id()))
+    loose = cut(components(loose_links(classes)).withColumnRenamed("node", "id"))
     wanted = classes.join(loose, "id").select("component", "id", F.col("first.doc_id").alias("_d"), F.col("first.hash").alias("_h"))
     rows = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("hash") == F.col("_h"))).dropDuplicates(["id"])
-    sets = checkpointed(shingle_sets(rows, words).join(loose, "id"))
+    sets = cut(shingle_sets(rows, words).join(loose, "id"))
     groups = components(exact_links(sets, similarity)).withColumnRenamed("node", "id")
-    named = checkpointed(classes.join(groups, "id", "left").select("fps", "first", F.coalesce("component", "id").alias("component")))
+    named = cut(classes.join(groups, "id", "left").select("fps", "first", F.coalesce("component", "id").alias("component")))
     best = named.groupBy("component").agg(F.min("first").alias("best"))
     labels = named.join(best, "component").select(F.col("fps").alias("_fps"), "best")
     found = fps.join(labels, F.col("fps") == F.col("_fps")).select(

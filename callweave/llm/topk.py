@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from callweave.llm.common import arrow_map, checkpointed
+from callweave.llm.common import arrow_map, cut
 
 NODES = 4
 #: Vectors in a block of queries or candidates at most.
@@ -149,10 +149,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     are compared over the components that both have.  Repeated rows are candidates
     each; a repeated query counts once.  Scores must fit 64 bits.
     """
-    candidates = checkpointed(_blocks(vectors))
+    candidates = cut(_blocks(vectors))
     asked = _blocks(queries.dropDuplicates(["vec_id"]))
     renamed = {"block": "q", "ids": "qids", "dims": "qdims", "vectors": "queries"}
-    asked = checkpointed(asked.withColumnsRenamed(renamed))
+    asked = cut(asked.withColumnsRenamed(renamed))
     n = asked.agg(F.max("q")).first()[0]
     spread = candidates.withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n if n is not None else 0).cast("long"))))
     spread = spread.repartition("q", "block")
@@ -161,9 +161,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     place = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     kth = first.withColumn("rank", F.row_number().over(place)).where(F.col("rank") == k).select("query_id", F.col("score").alias("cutoff"))
     # One cutoff for each query of a block, in the block's order, null where there are fewer than k candidates.
-    listed = asked.select("q", F.posexplode("qids").alias("at", "query_id")).join(checkpointed(kth), "query_id", "left")
+    listed = asked.select("q", F.posexplode("qids").alias("at", "query_id")).join(cut(kth), "query_id", "left")
     listed = listed.groupBy("q").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "cutoff"))), lambda x: x["cutoff"]).alias("cutoffs"))
-    told = checkpointed(asked.join(listed, "q"))
+    told = cut(asked.join(listed, "q"))
     pairs = spread.join(told, "q").select("ids", "dims", "vectors", "qids", "qdims", "queries", "cutoffs")
     found = _send(pairs, k).withColumn("rank", F.row_number().over(place))
     return found.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
@@ -171,7 +171,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
 
 def search(embeddings: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     """The op3 report: queries are the vectors whose vec_id is divisible by ``every``, candidates all vectors."""
-    rows = checkpointed(quantised(embeddings))
+    rows = cut(quantised(embeddings))
     return top_k(rows, rows.where(F.col("vec_id") % every == 0), k)
 
 

@@ -2,6 +2,8 @@ import random
 
 import pytest
 
+#: Extra columns with the names that operators use inside.
+CLASHES = [f"'{n}' as {n}" for n in ("hash", "row", "site", "at", "x", "m", "d", "h", "gone", "new_text", "removed", "copies", "take", "p", "p_good", "p_content", "ids", "decoded", "content", "metadata", "component", "fps", "_d", "_bad", "id", "words")] + ["1 as size"]
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -20,7 +22,7 @@ def odd_docs(spark):
         rows.append((i, f"{frame}\n{body}" if i % 2 else body, "en", f"s{i % 6}", len(body)))
     rows += [(90 + i, rows[12][1], "en", f"s{i}", 1) for i in range(4)]
     docs = spark.createDataFrame(rows, DOCS)
-    return docs.selectExpr("*", "1 as size", "'x' as hash").cache()
+    return docs.selectExpr("*", *CLASHES).cache()
 
 
 @pytest.fixture(scope="session")

@@ -142,16 +142,34 @@ def test_blocks_of_a_large_group(spark, monkeypatch):
 # Lines
 
 
-def test_line_dedup(spark, odd_docs, no_docs):
-    out = lines.dedup(odd_docs)
-    assert out.columns == odd_docs.columns and out.count() == odd_docs.count()
-    frame = "this frame is on every site."
-    assert not any(frame in (r.text or "") for r in out.collect())
-    before, after = Counter(r.text for r in odd_docs.collect()), Counter(r.text for r in out.collect())
-    assert after[None] == before[None] and after[""] == before[""] and after["x"] == 1
-    copied = odd_docs.where("doc_id = 90").first().text  # its own lines are on four sites, as one text
-    body = "\n".join(x for x in copied.split("\n") if x != frame)
-    assert after[body] == before[copied]
+def brute_lines(rows, sites=4, words=1, texts=1):
+    """(doc_id, new text, removed) of (doc_id, text, source) rows."""
+    spread, holders = defaultdict(set), defaultdict(set)
+    bare = lambda x: x.strip(" \t\n\v\f\r")
+    for _, text, source in rows:
+        for line in (text or "").split("\n"):
+            if len(WORD.findall(line)) >= words:
+                spread[bare(line)].add(source)
+                holders[bare(line)].add(text)
+    out = []
+    for doc_id, text, _ in rows:
+        bad = lambda x: len(spread[bare(x)]) >= sites and len(holders[bare(x)]) >= texts
+        kept = [x for x in (text or "").split("\n") if not bad(x)]
+        out.append((doc_id, None if text is None else "\n".join(kept), len((text or "").split("\n")) - len(kept)))
+    return out
+
+
+@pytest.mark.parametrize("texts", [1, 2])
+@pytest.mark.parametrize("words, most", [(1, 1_000_000), (3, 0)])
+def test_line_dedup(spark, odd_docs, no_docs, monkeypatch, words, most, texts):
+    monkeypatch.setattr(lines, "MOST_BROADCAST", most)
+    out = lines.cleaned(odd_docs, words=words, texts=texts).select("row.doc_id", "new_text", "removed")
+    rows = [(r.doc_id, r.text, r.source) for r in odd_docs.collect()]
+    want = brute_lines(rows, words=words, texts=texts)
+    assert Counter(map(tuple, out.collect())) == Counter(want) and sum(n for _, _, n in want) > 20
+    whole = lines.dedup(odd_docs, words=words, texts=texts)
+    assert whole.dtypes == odd_docs.dtypes
+    assert Counter((r.doc_id, r.text, r.row) for r in whole.collect()) == Counter((d, t, "row") for d, t, _ in want)
     assert lines.dedup(no_docs).count() == 0
 
 
@@ -159,8 +177,18 @@ def test_spread_estimates(spark):
     rows = [(i, "a line on very many sites", "en", f"s{i}", 1) for i in range(300)] + [(1000 + i, f"text {i}\na line on some sites", "en", f"s{i % 3}", 1) for i in range(30)]
     rows = [(i, f"{t}\nown {i} words here", lang, s, n) for i, t, lang, s, n in rows]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    got = sorted((r.sites, r.boilerplate) for r in lines.spread(docs).collect())
-    assert got[0] == (3, False) and got[1][1] and abs(got[1][0] - 300) <= 30
+    got = {r.rows: (r.sites, r.boilerplate) for r in lines.spread(docs).where("rows > 1").collect()}
+    assert got[30] == (3, False) and got[300][1] and abs(got[300][0] - 300) <= 30
+
+
+def test_adjacent_lines_and_blank_ones(spark):
+    rows = [(i, f"head {i}\nframe one\nframe two\n\n \nbody {i}\nframe one\n", "en", f"s{i}", 1) for i in range(5)]
+    got = {r.row.doc_id: (r.new_text, r.removed) for r in lines.cleaned(spark.createDataFrame(rows, odd_schema())).collect()}
+    assert got == {i: (f"head {i}\n\n \nbody {i}\n", 3) for i in range(5)}
+
+
+def odd_schema():
+    return "doc_id long, text string, lang string, source string, n_chars long"
 
 
 # Mixing
