@@ -3,6 +3,7 @@
 import random
 import re
 from collections import Counter, defaultdict
+from itertools import groupby
 
 import numpy as np
 import pytest
@@ -260,18 +261,58 @@ def brute_top(rows, k=5):
     return sorted(out)
 
 
-def test_top_k(spark, monkeypatch):
-    monkeypatch.setattr(topk, "BLOCK", 64)
+def vectors_to_search():
     made = np.random.default_rng(6)
     rows = [(i, made.normal(size=12).tolist()) for i in range(400)]
     rows += [(400 + i, rows[50][1]) for i in range(60)]
-    rows += [(500, None), (501, [1.0, None]), (502, [float("nan")] * 12), (503, [float("inf")] * 12), (None, [9.0] * 12), (550, [0.0] * 12), (600, []), (650, [1e6] * 12)]
-    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    return [*rows, (500, None), (501, [1.0, None]), (502, [float("nan")] * 12), (503, [float("inf")] * 12), (None, [9.0] * 12), (550, [0.0] * 12), (600, []), (650, [1e6] * 12)]
+
+
+@pytest.mark.parametrize("nodes, kept", [(2, 16), (3, 1), (1, 2)])
+def test_top_k(spark, monkeypatch, nodes, kept):
+    monkeypatch.setattr(topk, "BLOCK", 64)
+    monkeypatch.setattr(topk, "KEPT", kept)
+    monkeypatch.setattr(topk, "NODES", nodes)
+    rows = vectors_to_search()
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 as id", "2 as x", "3 as node")
     got = sorted(map(tuple, topk.search(frame).collect()))
     assert got == brute_top(rows)
+
+
+def test_top_k_of_odd_tables(spark):
+    rows = vectors_to_search()
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     assert topk.search(frame.limit(0)).count() == 0
     few = frame.where("vec_id in (0, 1, 2)")
     assert sorted(map(tuple, topk.search(few).collect())) == brute_top(rows[:3])
+    # Repeated rows are candidates each; a query's own rows are none.
+    twice = topk.search(frame.where("vec_id < 60").union(frame.where("vec_id in (0, 7, 7)")))
+    want = []
+    for q, group in groupby(brute_top(rows[:60], 60), key=lambda r: r[0]):
+        entries = [r for r in group for _ in range(2 if r[2] in (0, 7) else 1)]
+        want += [(q, n + 1, r[2], r[3]) for n, r in enumerate(entries[:5])]
+    assert sorted(map(tuple, twice.collect())) == want
+
+
+def test_nodes_send_only_what_the_cutoff_asks_for(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 256)
+    made = np.random.default_rng(8)
+    rows = [(i, made.normal(size=16).tolist()) for i in range(2000)]
+    vectors = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    search = topk.Search(vectors, vectors.where("vec_id % 50 = 0"), 5)
+    pairs = 2000 * 40
+    assert search.entries.count() < 0.1 * topk.NODES * pairs and search.open.count() < 0.1 * pairs
+    told = search.entries.join(search.cutoffs, "qid")
+    assert told.where("score < part").count() == 0
+    # All entries at or above the cutoff's part were sent, from lists or by a second scan.
+    x = np.array([v.x for v in search.classes.orderBy("id").collect()])
+    ids = [v.id for v in search.classes.orderBy("id").collect()]
+    parts = {r.qid: r.part for r in search.cutoffs.collect()}
+    sent = {(r.qid, r.id, r.node) for r in search.entries.collect()}
+    for q in search.queries.collect():
+        for node, (a, n) in enumerate(topk._columns(16)):
+            scores = x[:, a : a + n] @ np.array(q.x)[a : a + n]
+            assert all((q.qid, ids[i], node) in sent for i in np.flatnonzero(scores >= parts[q.qid]))
 
 
 # Quality

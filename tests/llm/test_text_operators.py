@@ -85,6 +85,39 @@ def test_edited_texts(spark, odd_docs, no_docs):
     assert fingerprints.compare_edited(no_docs).count() == 0
 
 
+def brute_lanes(text):
+    import xxhash
+
+    sums = [0] * fingerprints.LANES
+    for piece in pieces_of(text):
+        own = xxhash.xxh64_intdigest(piece.encode(), 42)
+        for i in range(fingerprints.LANES):
+            h = xxhash.xxh64_intdigest((i // 4).to_bytes(4, "little"), own)
+            sums[i] += (h >> 16 * (i % 4) & 65535) - 32768
+    return [x % fingerprints.MODULUS for x in sums]
+
+
+def brute_likeness(a, b):
+    signed = lambda v: [x - fingerprints.MODULUS if x >= fingerprints.MODULUS // 2 else x for x in v]
+    square = lambda v: sum(x * x for x in signed(v))
+    return 1.0 if a == b else max(0.0, 1 - square([(x - y) % fingerprints.MODULUS for x, y in zip(a, b, strict=True)]) / (square(a) + square(b)))
+
+
+def test_fingerprints_against_brute_force(spark, odd_docs, monkeypatch):
+    monkeypatch.setattr(fingerprints, "QUANTILES", 3)
+    docs = odd_docs.where("doc_id <> 6 or doc_id is null")
+    rows = sorted(texts(docs), key=lambda r: (-(r[0] if r[0] is not None else -1), r[1]))
+    want = []
+    for k, (doc_id, text) in enumerate(rows):
+        third, after = len(text) // 3, rows[(k + 1) % len(rows)][1]
+        own, edited, other = (brute_lanes(t) for t in (text, text[: len(text) - third] + after[:third], after))
+        show = lambda v: "".join(f"{x:08x}" for x in v)
+        want.append((doc_id, show(own), show(edited), round(brute_likeness(own, edited), 9), round(brute_likeness(own, other), 9)))
+    columns = ("doc_id", "fingerprint", "edited_fingerprint")
+    got = [(*[r[c] for c in columns], round(r.near_edited, 9), round(r.near_next, 9)) for r in fingerprints.compare_edited(docs).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_secret_base_spans(spark):
     key = "AKIA" + "Q" * 16
     text = f'a Token = "abcdef12" password:abc {key} {"0f" * 12} {"0f" * 11} api-key=zzzzzz apikey=zzzzzz é{"ab" * 13}'
