@@ -28,6 +28,8 @@ MODULUS = 1 << 32
 CUT = r"[\n\r]+|(?<=[.!?,;:|]) +"
 #: A bucket of the order of documents holds about so many rows; there are so many buckets at most.
 BUCKET_ROWS, MOST_BUCKETS, QUANTILES = 2_000, 1 << 18, 64
+#: Buckets that one task reads, on average.
+TASK_BUCKETS = 2
 
 
 def pieces(text: Column) -> Column:
@@ -80,8 +82,8 @@ def fingerprint(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     return lane_sums(docs, [key], text_of(text)).select(key, as_text(F.col("lanes")).alias("fingerprint"))
 
 
-def _ordered(docs: DataFrame, key: str) -> DataFrame:
-    """Adds ``_bucket``: contiguous ranges of ``key`` with similar numbers of rows, in order of the key."""
+def _ordered(docs: DataFrame, key: str) -> tuple[DataFrame, int]:
+    """Adds ``_bucket``: contiguous ranges of ``key`` with similar numbers of rows, in order of the key; and their number."""
     marks = [i / QUANTILES for i in range(QUANTILES + 1)]
     row = docs.agg(F.count("*").alias("n"), F.percentile_approx(key, F.array(*map(F.lit, marks)), 10_000).alias("q")).first()
     cuts = [int(x) for x in row.q or [0] * (QUANTILES + 1)]  # no key at all
@@ -93,19 +95,19 @@ def _ordered(docs: DataFrame, key: str) -> DataFrame:
     docs = docs.withColumns({"_low": F.element_at(array, F.col("_q")), "_high": F.element_at(array, F.col("_q") + 1)})
     part = (F.col("_id") - F.col("_low")).cast("double") / (F.col("_high") - F.col("_low") + 1).cast("double")
     sub = F.least(F.greatest(F.floor(part * inner), F.lit(0)), F.lit(inner - 1))
-    return docs.withColumn("_bucket", (F.col("_q") - 1) * inner + sub).drop("_q", "_low", "_high")
+    return docs.withColumn("_bucket", (F.col("_q") - 1) * inner + sub).drop("_q", "_low", "_high"), inner * QUANTILES
 
 
 def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Every row with ``next_text``: the text of the row after it by descending key, the first after the last.
 
     Rows are ranged into buckets of the key.  The first row of each bucket is also
-    sent to the end of the bucket before it in that order, so one shuffle and a
-    window in each bucket are enough; no task sees all rows.  Null keys come last,
-    equal keys are in order of their text.  Adds ``_bucket`` and ``_at``, which
-    together name a row.
+    sent to the end of the bucket before it in that order, as a ghost, so one shuffle
+    and a window in each bucket are enough; no task sees all rows.  Null keys come
+    last, equal keys are in order of their text.  Adds ``_bucket`` and ``_at``, which
+    together name a row and follow the order within a bucket, and ``_ghost``.
     """
-    rows = _ordered(docs.select(key, text_of(text).alias("text")), key)
+    rows, buckets = _ordered(docs.select(F.col(key).alias("key"), text_of(text).alias("text")), "key")
     firsts = rows.groupBy("_bucket").agg(F.max("_id").alias("_first"))
     # At most MOST_BUCKETS rows of two longs.
     before = F.lead("_bucket").over(Window.orderBy("_bucket"))
@@ -114,14 +116,12 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     real = F.struct(F.col("_bucket").alias("to"), F.lit(False).alias("ghost"))
     ghost = F.struct(F.col("_before").alias("to"), F.lit(True).alias("ghost"))
     rows = rows.select(
-        key, "text", "_id", F.explode(F.when(F.col("_id") == F.col("_first"), F.array(real, ghost)).otherwise(F.array(real))).alias("_x")
-    ).select(key, "text", "_id", F.col("_x.to").alias("_bucket"), F.col("_x.ghost").alias("_ghost"))
+        "key", "text", "_id", F.explode(F.when(F.col("_id") == F.col("_first"), F.array(real, ghost)).otherwise(F.array(real))).alias("_x")
+    ).select("key", "text", "_id", F.col("_x.to").alias("_bucket"), F.col("_x.ghost").alias("_ghost"))
+    # Tasks grow in number, not in size.
+    rows = rows.repartition(max(1, buckets // TASK_BUCKETS), "_bucket")
     order = Window.partitionBy("_bucket").orderBy("_ghost", F.desc("_id"), "text")
-    return (
-        rows.withColumns({"next_text": F.lead("text").over(order), "_next_id": F.lead("_id").over(order), "_at": F.row_number().over(order)})
-        .where(~F.col("_ghost"))
-        .drop("_ghost")
-    )
+    return rows.withColumns({"next_text": F.lead("text").over(order), "_at": F.row_number().over(order)}).drop("_id")
 
 
 def edited(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -139,30 +139,23 @@ def edited(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 def compare_edited(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """The op4 report: fingerprints of each text and of its edited text, and their likeness.
 
+    Each text is hashed once; the next document's lanes come from the row after it.
     Equal keys are told apart by their place in the order, so repeated rows give
-    repeated results.  An empty table gives an empty result.
+    repeated results; a null text counts as empty, and the only document of a table is
+    its own next.  An empty table gives an empty result.
     """
     rows = edited(docs, key)
-    names = ["_bucket", "_at"]
-    both = rows.select(
-        *names,
-        key,
-        "n_chars",
-        F.sha2("edited", 256).alias("edited_sha256"),
-        F.explode(
-            F.array(
-                F.struct(F.lit(0).alias("which"), F.col("text").alias("body")),
-                F.struct(F.lit(1).alias("which"), F.col("edited").alias("body")),
-                F.struct(F.lit(2).alias("which"), F.col("next_text").alias("body")),
-            )
-        ).alias("_x"),
-    )
-    flat = both.select(*names, key, "n_chars", "edited_sha256", F.col("_x.which").alias("_which"), F.col("_x.body").alias("_body"))
-    sums = lane_sums(flat, [*names, key, "n_chars", "edited_sha256", "_which"], F.col("_body"))
-    pick = [F.max(F.when(F.col("_which") == i, F.col("lanes"))).alias(f"_v{i}") for i in range(3)]
-    wide = sums.groupBy(*names, key, "n_chars", "edited_sha256").agg(*pick)
+    names = ["_bucket", "_at", "_ghost", "key", "n_chars", "edited_sha256"]
+    bodies = [F.struct(F.lit(0).alias("which"), F.col("text").alias("body")), F.struct(F.lit(1).alias("which"), F.col("edited").alias("body"))]
+    # Of a ghost only its own text counts.
+    bodies = F.when(F.col("_ghost"), F.array(bodies[0])).otherwise(F.array(*bodies))
+    flat = rows.withColumn("edited_sha256", F.sha2("edited", 256)).select(*names, F.explode(bodies).alias("_x"))
+    sums = lane_sums(flat.select(*names, F.col("_x.which").alias("_which"), F.col("_x.body").alias("_body")), [*names, "_which"], F.col("_body"))
+    pick = [F.max(F.when(F.col("_which") == i, F.col("lanes"))).alias(f"_v{i}") for i in range(2)]
+    wide = sums.groupBy(*names).agg(*pick)
+    wide = wide.withColumn("_v2", F.lead("_v0").over(Window.partitionBy("_bucket").orderBy("_at"))).where(~F.col("_ghost"))
     return wide.select(
-        key,
+        F.col("key").alias(key),
         "n_chars",
         "edited_sha256",
         as_text(F.col("_v0")).alias("fingerprint"),
