@@ -110,9 +110,10 @@ def cleaned(docs: DataFrame, sites: int = SITES, words: int = MIN_WORDS, texts:
     bad = cut(spread_of(lines, sites, texts).where("boilerplate").select("x", "m"))
     hits = _meet(lines, bad, ["doc_id", "hash"])
     hits = hits.groupBy(F.col("doc_id").alias("d"), F.col("hash").alias("h")).agg(F.sort_array(F.collect_set("at")).alias("gone"))
-    rows = docs.select(packed(docs).alias("row"), "doc_id", "text", F.xxhash64("text").alias("hash"))
+    rows = docs.select(packed(docs).alias("row"), "doc_id", F.xxhash64("text").alias("hash"))
     rows = rows.join(hits, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("hash") == F.col("h")), "left")
-    new = F.when(F.col("gone").isNull(), F.col("text")).otherwise(_without(F.col("text"), F.col("gone")))
+    text = F.col("row.text")
+    new = F.when(F.col("gone").isNull(), text).otherwise(_without(text, F.col("gone")))
     return rows.select("row", new.alias("new_text"), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("removed"))
 
 
