@@ -10,9 +10,9 @@ the nodes.
 2. An entry whose partial scores are all below c / NODES cannot reach c, so each node is
    told c / NODES and sends its entries at or above it.  Lists that reach down to it are
    cut there; only blocks whose list ends above it are scanned again.
-3. What was collected is summed; an entry that cannot reach c, with less than c / NODES
-   for every part that no node sent, goes.  Of the others the missing parts alone are
-   computed.
+3. What was collected is summed, and the k-th best of the whole sums may raise c.  An
+   entry that cannot reach c, with less than the part asked for wherever no node sent
+   one, goes.  Of the others the missing parts alone are computed.
 
 Equal vectors are one class from the start, with the few least ids that can appear in a
 result, so a vector that a third of all rows have is scored once.  Queries and candidates
@@ -214,14 +214,19 @@ class Search:
         self.entries = cut(sent.unionByName(more))
 
         summed = self.entries.groupBy("qid", "id").agg(F.sum("score").alias("known"), F.collect_set("node").alias("nodes"))
-        summed = summed.join(self.cutoffs, "qid", "left").withColumn("missing", NODES - F.size("nodes"))
-        could = F.col("cutoff").isNull() | (F.col("known") + F.col("missing") * (F.col("part") - 1) >= F.col("cutoff"))
-        summed = cut(summed.where(could))
-        done = summed.where("missing = 0").select("qid", "id", F.col("known").alias("score"), "cutoff")
+        summed = cut(summed.withColumn("missing", NODES - F.size("nodes")))
+        # Entries that every node sent may raise the cutoff.
+        order = Window.partitionBy("qid").orderBy(F.desc("known"), "id")
+        raised = summed.where("missing = 0").withColumn("_place", F.row_number().over(order)).where(F.col("_place") == most)
+        raised = self.cutoffs.join(raised.select("qid", F.col("known").alias("raised")), "qid", "left")
+        raised = cut(raised.select("qid", "part", F.greatest("cutoff", "raised").alias("least")))
+        could = F.col("least").isNull() | (F.col("known") + F.col("missing") * (F.col("part") - 1) >= F.col("least"))
+        summed = cut(summed.join(raised, "qid", "left").where(could))
+        done = summed.where("missing = 0").select("qid", "id", F.col("known").alias("score"), "least")
         self.open = summed.where("missing > 0")
-        resolved = _scored(self.open, asked, classes, dims, "nodes").select("qid", "id", (F.col("known") + F.col("rest")).alias("score"), "cutoff")
+        resolved = _scored(self.open, asked, classes, dims, "nodes").select("qid", "id", (F.col("known") + F.col("rest")).alias("score"), "least")
         scores = done.unionByName(resolved)
-        self.scores = scores.where(F.col("cutoff").isNull() | (F.col("score") >= F.col("cutoff"))).select("qid", "id", "score")
+        self.scores = scores.where(F.col("least").isNull() | (F.col("score") >= F.col("least"))).select("qid", "id", "score")
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
