@@ -8,21 +8,27 @@ on what a chain's first segments must share; a candidate must then keep within t
 budget of every chain length before all bits are compared.
 
 Equal fingerprints are one class from the start, so copies never meet each other.
-Only classes are joined, links are never collected, and components are found by
-:mod:`callweave.llm.components`.
+Only classes are joined.  Within a group that shares a key links travel as a spanning
+forest, never as all pairs; a group over ``GROUP`` rows is dealt into pairs of blocks.
+Components of the forests are found by :mod:`callweave.llm.components`.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callweave.llm.common import BLANKS, arrow_map, cut
+from callweave.llm.common import BLANKS, arrow_map, cut, packed, unpacked
 from callweave.llm.components import components
 
 #: Segments of a 64-bit fingerprint on its ring.
 SEGMENTS, BITS = 8, 64
+#: Rows of a group that shares a key which one task compares, and keys over that which are broadcast at most.
+GROUP, MOST_BROADCAST = 4096, 250_000
 #: Shingles hashed at once, so that a very long text takes little memory.
 SLICE = 1 << 16
 
@@ -61,6 +67,19 @@ def majority(h: np.ndarray, longs: int = 1) -> list[int]:
     return out
 
 
+def _words():
+    import re
+
+    blank = re.compile(f"[{BLANKS}]+")
+    lower = {i: i + 32 for i in range(65, 91)}
+
+    def cut(text: str | None) -> list[str]:
+        text = text or ""
+        return [w for w in blank.split(text.lower() if text.isascii() else text.translate(lower)) if w]
+
+    return cut
+
+
 def fingerprints(docs: DataFrame, words: int = 3, longs: int = 1) -> DataFrame:
     """(doc_id, fps: array of ``longs`` 64-bit numbers) for every row of ``docs`` (doc_id, text).
 
@@ -103,80 +122,6 @@ def _keys() -> Column:
     return F.array(*keys)
 
 
-def links(classes: DataFrame, most: int = 3) -> DataFrame:
-    """Pairs (a, b), a < b, of the distinct fingerprints ``fp`` that differ in at most ``most`` (up to 3) bits.
-
-    Complete: no pair is lost, whatever the sizes of the groups that share a key.
-    """
-    if not 0 <= most <= 3:
-        raise ValueError("the keys hold for up to 3 differing bits")
-    rows = classes.select("fp", F.explode(_keys()).alias("k")).select("fp", "k.start", "k.key")
-    other = rows.select(F.col("fp").alias("other"), F.col("key").alias("key2"))
-    apart = F.col("fp").bitwiseXOR(F.col("other"))
-    width = BITS // SEGMENTS
-    ring = F.expr(f"(shiftrightunsigned(fp ^ other, start * {width}) | if(start = 0, 0L, shiftleft(fp ^ other, {BITS} - start * {width})))")
-    budgets = F.lit(True)
-    for n in range(2, SEGMENTS):
-        budgets = budgets & (F.bit_count(ring.bitwiseAND((1 << (n * width)) - 1)) <= n * most // SEGMENTS)
-    pairs = rows.join(other, (F.col("key") == F.col("key2")) & (F.col("fp") < F.col("other")) & budgets & (F.bit_count(apart) <= most))
-    return pairs.select(F.col("fp").alias("a"), F.col("other").alias("b")).distinct()
-
-
-def near_duplicates(docs: DataFrame, words: int = 3, most: int = 3) -> DataFrame:
-    """(doc_id, fingerprint, component_id) for every row of ``docs`` (doc_id, text).
-
-    ``component_id`` is the least doc_id that is reachable over links, the row's own
-    included.  Null doc_ids count only where a component has no other.
-    """
-    fps = cut(fingerprints(docs, words).select("doc_id", F.col("fps")[0].alias("fp")))
-    classes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    groups = components(links(classes, most)).select(F.col("node").alias("fp"), "component")
-    # Of each class the component (its own fingerprint if it has no links), then the least document of each component.
-    named = cut(classes.join(groups, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component")))
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    labels = named.join(least, "component").select(F.col("fp").alias("_fp"), "component_id")
-    found = fps.join(labels, F.col("fp") == F.col("_fp"))
-    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-# Near-duplicates by Jaccard similarity of shingle sets.
-#
-# A similarity of 0.8 is some 15% of differing bits, for which proportional budgets
-# leave no equal segments to join on.  So the fingerprint is four times as wide, lies
-# on several rings with bits in another order each, and a chain must start with a seed
-# of two consecutive segments that are equal.  A pair at similarity s shares a seed
-# of SEED bits with probability (1 - angle/pi)**SEED.  This is not complete: README has
-# the share of pairs found by size, which is least for texts of a few shingles.
-#
-# What shares a seed and is close in the chain of the first NEAR_LONGS segments is
-# joined to loose groups; links travel as spanning forests, never as all pairs of a
-# group.  Each document's shingle set is then sent to its loose group once for each
-# block of it, where a wide Hamming check prunes pairs and the sets decide.
-LONGS, RINGS, SEED = 4, 7, 20
-SEEDS = LONGS * BITS // SEED
-#: Of the first 128 bits so many may differ in a loose group, of WIDE_LONGS * 64 bits in a pair whose sets are compared.
-#: Few pairs at 0.8 are beyond, but half of those with four shingles against five.
-NEAR_LONGS, NEAR_BITS = 2, 32
-WIDE_LONGS, WIDE_BITS = 16, 190
-#: Members of a block of a loose group, on average.
-BLOCK = 256
-
-
-def _ring_orders() -> np.ndarray:
-    """Bit positions of every seed of every ring, in a fixed pseudo-random order."""
-    made = np.random.default_rng(20240)
-    return np.concatenate([made.permutation(LONGS * BITS)[: SEEDS * SEED].reshape(SEEDS, SEED) for _ in range(RINGS)])
-
-
-def _seed_keys(rows: dict, orders: np.ndarray) -> dict:
-    fps = np.array(rows["fps"], dtype=np.int64).reshape(-1, LONGS)
-    bits = np.unpackbits(fps.astype(">i8").view(np.uint8).reshape(len(fps), -1), axis=1)
-    powers = np.int64(1) << np.arange(SEED, dtype=np.int64)
-    number = np.arange(len(orders), dtype=np.int64) << SEED
-    keys = np.stack([bits[:, order].astype(np.int64) @ powers for order in orders], axis=1) + number
-    return {"id": rows["id"], "f0": fps[:, 0].tolist(), "f1": fps[:, 1].tolist(), "keys": keys.tolist()}
-
-
 class Forest:
     """Union-find over ids; ``join`` says whether two were apart."""
 
@@ -199,114 +144,242 @@ class Forest:
         return a != b
 
 
-def _near_in_groups(key: np.ndarray, ids: np.ndarray, f0: np.ndarray, f1: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of the close pairs with equal keys; ``key`` is sorted."""
-    forest, out = Forest(), []
-    f0, f1 = f0.view(np.uint64), f1.view(np.uint64)
-    at = np.flatnonzero(key[:-1] == key[1:])
-    lag = 1
-    while len(at):
-        other = at + lag
-        apart = np.bitwise_count(f0[at] ^ f0[other]) + np.bitwise_count(f1[at] ^ f1[other])
-        close = apart <= NEAR_BITS
-        out += [(a, b) for a, b in zip(ids[at[close]].tolist(), ids[other[close]].tolist(), strict=True) if a != b and forest.join(a, b)]
-        lag += 1
-        at = at[at + lag < len(key)]
-        at = at[key[at] == key[at + lag]]
-    return out
+Close = Callable[[dict[str, np.ndarray], np.ndarray, np.ndarray], np.ndarray]
 
 
-def loose_links(classes: DataFrame) -> DataFrame:
-    """(a, b) of ids of ``classes`` (id, fps): for every seed a spanning forest of the classes that share it and are close.
+def _near_in_groups(columns: dict[str, np.ndarray], close: Close, similarity: float) -> list[tuple[int, int]]:
+    """A spanning forest of the close pairs with equal ``key``; rows are in order of ``key``, then ``n``.
 
-    Seeds are dealt out by their value and read in order; a group stays in memory at
-    32 bytes a class, of texts that differ.
+    Sizes ``n`` of a pair may differ by the factor ``similarity`` at most.
+    """
+    key, ids, n, side = (columns[c] for c in ("key", "id", "n", "side"))
+    forest, out = Forest(), []
+    at, lag = np.arange(len(key)), 0
+    while True:
+        # Who has no partner at one distance has none further off.
+        lag += 1
+        at = at[at + lag < len(key)]
+        at = at[(key[at] == key[at + lag]) & (n[at] >= similarity * n[at + lag])]
+        if not len(at):
+            return out
+        a = at[(side[at] == WHOLE) | (side[at] != side[at + lag])]
+        a = a[close(columns, a, a + lag)]
+        out += [(x, y) for x, y in zip(ids[a].tolist(), ids[a + lag].tolist(), strict=True) if x != y and forest.join(x, y)]
+
+
+#: Side of a row in a group that is compared whole; 0 and 1 are compared with each other.
+WHOLE = 2
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """``rows`` (key, id, ...) with ``side``; keys with over ``GROUP`` rows are dealt into pairs of blocks with keys of their own."""
+    large = cut(rows.groupBy("key").agg(F.count("*").alias("_n")).where(F.col("_n") > GROUP).select("key", F.ceil(F.col("_n") / GROUP).alias("_blocks")))
+    number = large.count()
+    if not number:
+        return rows.withColumn("side", F.lit(WHOLE))
+    # At most the rows over GROUP; beyond the bound a plain join.
+    rows = rows.join(F.broadcast(large) if number <= MOST_BROADCAST else large, "key", "left")
+    block = F.coalesce(F.pmod(F.xxhash64("id"), F.col("_blocks")), F.lit(0))
+    rows = rows.withColumn("_block", block).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("_blocks") - 1, F.lit(0)))))
+    pair = F.xxhash64("key", F.least("_block", "_other"), F.greatest("_block", "_other"))
+    side = F.when(F.col("_block") == F.col("_other"), WHOLE).when(F.col("_block") < F.col("_other"), 0).otherwise(1)
+    rows = rows.withColumn("side", side).withColumn("key", F.when(F.col("_blocks").isNull(), F.col("key")).otherwise(pair))
+    return rows.drop("_n", "_blocks", "_block", "_other")
+
+
+def grouped_forests(rows: DataFrame, close: Close, similarity: float = 0.0) -> DataFrame:
+    """(a, b): for every ``key`` of ``rows`` (key, id, n, more numbers) a spanning forest of the pairs that are ``close``.
+
+    Rows are dealt out by their key and read in order; a task holds one group, of
+    ``GROUP`` rows or some more, at a time.
     """
     import pyarrow as pa
 
-    orders = _ring_orders()
-    schema = "id long, f0 long, f1 long, keys array<long>"
-    keyed = arrow_map(classes.select("id", "fps"), lambda rows: _seed_keys(rows, orders), schema, step=2048)
-    rows = keyed.select(F.explode("keys").alias("key"), "id", "f0", "f1").repartition("key").sortWithinPartitions("key")
+    rows = _dealt(rows).repartition("key").sortWithinPartitions("key", "n")
+    names = rows.columns
 
     def run(batches):
-        rest: list[np.ndarray] | None = None
+        rest: dict[str, np.ndarray] | None = None
 
         def found(columns):
-            pairs = _near_in_groups(*columns)
+            pairs = _near_in_groups(columns, close, similarity)
             return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
         for batch in batches:
-            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            columns = {n: batch.column(i).to_numpy(zero_copy_only=False) for i, n in enumerate(names)}
             if rest is not None:
-                columns = [np.concatenate(x) for x in zip(rest, columns, strict=True)]
-            whole = int(np.searchsorted(columns[0], columns[0][-1])) if len(columns[0]) else 0
+                columns = {n: np.concatenate((rest[n], columns[n])) for n in names}
+            whole = int(np.searchsorted(columns["key"], columns["key"][-1])) if len(columns["key"]) else 0
             if whole > 1:
-                yield found([c[:whole] for c in columns])
-            rest = [c[whole:] for c in columns]
-        if rest is not None and len(rest[0]) > 1:
+                yield found({n: c[:whole] for n, c in columns.items()})
+            rest = {n: c[whole:] for n, c in columns.items()}
+        if rest is not None and len(rest["key"]) > 1:
             yield found(rest)
 
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
-    """``id`` and the sorted distinct shingle hashes of ``text``."""
+def _in_chain(columns: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """The pigeonring check of pairs that share a key: every chain from the key's start within its budget, then all bits."""
+    fp = columns["id"].view(np.uint64)
+    apart = fp[a] ^ fp[b]
+    width = np.uint64(BITS // SEGMENTS)
+    by = columns["n"][a].astype(np.uint64) * width
+    ring = (apart >> by) | np.where(by == 0, np.uint64(0), apart << ((np.uint64(BITS) - by) % np.uint64(BITS)))
+    good = np.ones(len(a), bool)
+    for n in range(2, SEGMENTS):
+        good &= np.bitwise_count(ring & np.uint64((1 << n * BITS // SEGMENTS) - 1)) <= n * most // SEGMENTS
+    return good & (np.bitwise_count(apart) <= most)
 
-    def make():
-        cut = _words()
-        return lambda rows: {"id": rows["id"], "shingles": [np.unique(_hashes(cut(t), words)).view(np.int64).tolist() for t in rows["text"]]}
 
-    return arrow_map(docs.select("id", "text"), None, "id long, shingles array<long>", make)
+def links(classes: DataFrame, most: int = 3) -> DataFrame:
+    """Pairs (a, b) that connect the distinct fingerprints ``fp`` of ``classes`` as those with at most ``most`` (up to 3) differing bits do.
+
+    Complete: no connection is lost, whatever the sizes of the groups that share a key.
+    Each pair is a link; of a group's links a spanning forest is given.
+    """
+    if not 0 <= most <= 3:
+        raise ValueError("the keys hold for up to 3 differing bits")
+    rows = classes.select("fp", F.explode(_keys()).alias("k")).select("k.key", F.col("fp").alias("id"), F.col("k.start").alias("n"))
+    return grouped_forests(rows, lambda columns, a, b: _in_chain(columns, a, b, most))
 
 
-def _words():
-    import re
+def near_duplicates(docs: DataFrame, words: int = 3, most: int = 3) -> DataFrame:
+    """(doc_id, fingerprint, component_id) for every row of ``docs`` (doc_id, text).
 
-    blank = re.compile(f"[{BLANKS}]+")
-    lower = {i: i + 32 for i in range(65, 91)}
+    ``component_id`` is the least doc_id that is reachable over links, the row's own
+    included.  Null doc_ids count only where a component has no other.
+    """
+    fps = cut(fingerprints(docs, words).select("doc_id", F.col("fps")[0].alias("fp")))
+    classes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    groups = components(links(classes, most)).select(F.col("node").alias("fp"), "component")
+    # Of each class the component (its own fingerprint if it has no links), then the least document of each component.
+    named = cut(classes.join(groups, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component")))
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    labels = named.join(least, "component").select(F.col("fp").alias("_fp"), "component_id")
+    found = fps.join(labels, F.col("fp") == F.col("_fp"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
-    def cut(text: str | None) -> list[str]:
-        text = text or ""
-        return [w for w in blank.split(text.lower() if text.isascii() else text.translate(lower)) if w]
 
-    return cut
+# Near-duplicates by Jaccard similarity of shingle sets.
+#
+# A similarity of 0.8 is some 15% of differing bits, for which proportional budgets
+# leave no equal segments to join on.  So candidates come from prefixes: in any one order
+# of all shingles, two sets of n shingles or more at a similarity of s share one of their
+# first n - ceil(s * n) + 1.  The order is by hash, with shingles that over ``HOT`` sets
+# have among their first ones last, so that a passage of many documents selects nothing
+# unless a set has hardly anything else.  Sets of 128-bit fingerprints too far apart are
+# no candidates; what is left is joined to loose groups by spanning forests.  Each set is
+# then sent to its loose group once for each block of it, a wide Hamming check prunes
+# pairs, and the sets decide.
+#
+#: Of 128 bits so many may differ in a loose group, of WIDE_LONGS * 64 bits in a pair whose sets are compared: some 5 and 6
+#: standard deviations over what 0.8 makes.  Pairs with a set of SMALL or fewer shingles go by their sets alone.
+LONGS, NEAR_BITS = 2, 40
+WIDE_LONGS, WIDE_BITS, SMALL = 16, 224, 48
+#: A shingle among the first ones of more sets comes last; the number rises until there are at most MOST_BROADCAST such.
+HOT = 1000
+#: Members and shingles of a block of a loose group, on average.
+BLOCK, BLOCK_SHINGLES = 256, 1 << 20
+
+
+def _share(similarity: float, n: int) -> int:
+    """Least number of shingles that a set has in common with a set of ``n`` or more."""
+    return math.ceil(similarity * n - 1e-9)
+
+
+def _first(shingles: np.ndarray, similarity: float, hot: np.ndarray | None = None) -> np.ndarray:
+    """The first shingles of a sorted set in the common order, of which similar sets share one."""
+    if hot is not None and len(shingles):
+        last = np.isin(shingles, hot, assume_unique=True)
+        shingles = np.concatenate((shingles[~last], shingles[last]))
+    return shingles[: len(shingles) - _share(similarity, len(shingles)) + 1] if len(shingles) else shingles
+
+
+def _sets(docs: DataFrame, words: int, make: Callable[[np.ndarray], dict], schema: str) -> DataFrame:
+    """The other columns of ``docs`` (.., text), with what ``make`` gives for the sorted distinct shingle hashes of the text."""
+    kept = [c for c in docs.columns if c != "text"]
+    kinds = dict(docs.dtypes)
+
+    def made():
+        cut_words = _words()
+
+        def work(rows: dict) -> dict:
+            found = [make(np.unique(_hashes(cut_words(t), words))) for t in rows["text"]]
+            return {c: rows[c] for c in kept} | {c: [f[c] for f in found] for c in (found[0] if found else {})}
+
+        return work
+
+    return arrow_map(docs, None, ", ".join(f"{c} {kinds[c]}" for c in kept) + ", " + schema, made)
+
+
+def _profile(shingles: np.ndarray, similarity: float) -> dict:
+    import xxhash
+
+    f, digest = majority(shingles, LONGS), np.frombuffer(xxhash.xxh3_128_digest(shingles.tobytes()), np.int64)
+    keys = _first(shingles, similarity).view(np.int64).tolist()
+    return {"n": len(shingles), "d0": int(digest[0]), "d1": int(digest[1]), "f0": f[0], "f1": f[1], "keys": keys}
+
+
+def _near_bits(columns: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    f0, f1 = columns["f0"].view(np.uint64), columns["f1"].view(np.uint64)
+    apart = np.bitwise_count(f0[a] ^ f0[b]) + np.bitwise_count(f1[a] ^ f1[b])
+    return (apart <= NEAR_BITS) | (columns["n"][a] <= SMALL)
+
+
+def _hot(classes: DataFrame) -> np.ndarray:
+    """Keys that too many classes have, at most ``MOST_BROADCAST``, sorted."""
+    counts = cut(classes.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT))
+    least = HOT
+    while (hot := counts.where(F.col("n") > least)).count() > MOST_BROADCAST:
+        least *= 4
+    return np.sort(np.array([r.key for r in hot.select("key").collect()], np.int64)).view(np.uint64)
+
+
+def loose_links(classes: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of ids of ``classes`` (id, n, f0, f1, keys): for every key a spanning forest of the classes that have it and are close."""
+    rows = classes.select(F.explode("keys").alias("key"), "id", "n", "f0", "f1")
+    return grouped_forests(rows, _near_bits, similarity)
 
 
 def _verified(members: list[dict], similarity: float) -> list[tuple[int, int]]:
     """A spanning forest of the pairs of a block pair whose sets are similar: both blocks' members, or one block's own."""
+    members = sorted(members, key=lambda m: len(m["shingles"]))
     ids = [m["id"] for m in members]
     sets = [np.array(m["shingles"], np.int64) for m in members]
-    wide = np.array([majority(s.view(np.uint64), WIDE_LONGS) for s in sets], np.int64).view(np.uint64).reshape(len(sets), WIDE_LONGS)
+    wide = np.array([m["wide"] for m in members], np.int64).view(np.uint64).reshape(len(sets), -1)
     size = np.array([len(s) for s in sets])
     first = np.array([m["first"] for m in members])
     mixed = first.any() and not first.all()
     forest, out = Forest(), []
     for i in range(len(ids)):
-        rest = np.flatnonzero(~first[i + 1 :] if mixed and first[i] else first[i + 1 :] if mixed else np.ones(len(ids) - i - 1, bool)) + i + 1
-        apart = np.bitwise_count(wide[i] ^ wide[rest]).sum(1, dtype=np.int64)
-        small, large = np.minimum(size[i], size[rest]), np.maximum(size[i], size[rest])
-        for j in rest[(apart <= WIDE_BITS) & (small >= similarity * large)].tolist():
+        rest = np.arange(i + 1, int(np.searchsorted(size, size[i] / similarity + 1e-6, "right")))
+        rest = rest[first[rest] != first[i]] if mixed else rest
+        if size[i] > SMALL:
+            rest = rest[np.bitwise_count(wide[i] ^ wide[rest]).sum(1, dtype=np.int64) <= WIDE_BITS]
+        for j in rest.tolist():
             if forest.top(ids[i]) != forest.top(ids[j]):
                 common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if common >= similarity * (size[i] + size[j] - common):
+                if common >= similarity * (size[i] + size[j] - common) - 1e-9:
                     forest.join(ids[i], ids[j])
                     out.append((ids[i], ids[j]))
     return out
 
 
 def exact_links(sets: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) from ``sets`` (component, id, shingles): links that connect what similar pairs within a component connect.
+    """(a, b) from ``sets`` (component, id, shingles, wide): links that connect what similar pairs within a component connect.
 
-    A component is dealt into blocks of about ``BLOCK`` by hash; each pair of blocks is
-    one group, so no task holds more than two blocks.
+    A component is dealt by hash into blocks of about ``BLOCK`` sets and
+    ``BLOCK_SHINGLES`` shingles; each pair of blocks is one group, so no task holds
+    more than two blocks.
     """
-    blocks = sets.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).alias("n")).where("n > 0")
-    rows = sets.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("id"), F.col("n")))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    parts = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.size("shingles")) / BLOCK_SHINGLES))
+    blocks = sets.groupBy("component").agg(parts.alias("blocks"))
+    rows = sets.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     group = [F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")]
-    rows = rows.select("component", *group, "id", "shingles", (F.col("block") <= F.col("other")).alias("first"))
-    lists = rows.groupBy("component", "i", "j").agg(F.collect_list(F.struct("id", "first", "shingles")).alias("members"))
+    rows = rows.select("component", *group, "id", "shingles", "wide", (F.col("block") <= F.col("other")).alias("first"))
+    lists = rows.groupBy("component", "i", "j").agg(F.collect_list(F.struct("id", "first", "shingles", "wide")).alias("members"))
 
     def work(columns: dict) -> dict:
         pairs = [p for members in columns["members"] for p in _verified(members, similarity)]
@@ -321,42 +394,49 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     ``hash`` is the text's xxhash64.  Documents are in a group if a chain of pairs
     with a Jaccard similarity of ``similarity`` (0.8 or more) or more of their sets of
     ``words``-word shingles connects them; the group is named by its least (doc_id,
-    hash).  Texts with equal fingerprints of their sets are one class; texts without
-    words form one class.
+    hash).  Texts with equal sets are one class; texts without words form one class.
     """
     if similarity < 0.8:
-        raise ValueError("the seeds and budgets are made for a similarity of 0.8 or more")
-
-    def make():
-        cut = _words()
-
-        def one(text):
-            return majority(np.unique(_hashes(cut(text), words)), LONGS)
-
-        return lambda rows: {"doc_id": rows["doc_id"], "hash": rows["hash"], "fps": [one(t) for t in rows["text"]]}
-
+        raise ValueError("the Hamming checks are made for a similarity of 0.8 or more")
     texts = docs.select("doc_id", F.xxhash64("text").alias("hash"), "text")
-    fps = cut(arrow_map(texts, None, "doc_id long, hash long, fps array<long>", make))
-    classes = fps.groupBy("fps").agg(F.min(F.struct("doc_id", "hash")).alias("first"))
+    found = _sets(texts, words, lambda s: _profile(s, similarity), "n int, d0 long, d1 long, f0 long, f1 long, keys array<long>")
+    found = cut(found)
+    same = ["n", "d0", "d1"]
+    classes = found.groupBy(*same).agg(F.min(F.struct("doc_id", "hash")).alias("first"), *[F.any_value(c).alias(c) for c in ("f0", "f1", "keys")])
     classes = cut(classes.withColumn("id", F.monotonically_increasing_id()))
-    loose = cut(components(loose_links(classes)).withColumnRenamed("node", "id"))
-    wanted = classes.join(loose, "id").select("component", "id", F.col("first.doc_id").alias("_d"), F.col("first.hash").alias("_h"))
-    rows = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("hash") == F.col("_h"))).dropDuplicates(["id"])
-    sets = cut(shingle_sets(rows, words).join(loose, "id"))
+
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        """The text of each class of ``wanted`` (id), beside its id."""
+        wanted = classes.join(wanted, "id", "left_semi").select("id", F.col("first.doc_id").alias("d"), F.col("first.hash").alias("h"))
+        rows = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("hash") == F.col("h")))
+        return rows.select("id", "text").dropDuplicates(["id"])
+
+    keyed = classes.select("id", "n", "f0", "f1", "keys")
+    hot = _hot(classes)
+    if len(hot):
+        table = docs.sparkSession.createDataFrame([(x,) for x in hot.view(np.int64).tolist()], "key long")
+        changed = cut(keyed.select("id", F.explode("keys").alias("key")).join(F.broadcast(table), "key", "left_semi").select("id").distinct())
+        again = _sets(texts_of(changed), words, lambda s: {"keys": _first(s, similarity, hot).view(np.int64).tolist()}, "keys array<long>")
+        rest = keyed.join(changed, "id", "left_anti")
+        keyed = cut(rest.unionByName(keyed.drop("keys").join(again, "id")))
+    loose = cut(components(loose_links(keyed, similarity)).withColumnRenamed("node", "id"))
+    whole = lambda s: {"shingles": s.view(np.int64).tolist(), "wide": majority(s, WIDE_LONGS)}
+    sets = cut(_sets(texts_of(loose.select("id")), words, whole, "shingles array<long>, wide array<long>").join(loose, "id"))
     groups = components(exact_links(sets, similarity)).withColumnRenamed("node", "id")
-    named = cut(classes.join(groups, "id", "left").select("fps", "first", F.coalesce("component", "id").alias("component")))
+    named = cut(classes.join(groups, "id", "left").select(*same, "first", F.coalesce("component", "id").alias("component")))
     best = named.groupBy("component").agg(F.min("first").alias("best"))
-    labels = named.join(best, "component").select(F.col("fps").alias("_fps"), "best")
-    found = fps.join(labels, F.col("fps") == F.col("_fps")).select(
-        "doc_id", "hash", F.col("best.doc_id").alias("group_doc_id"), F.col("best.hash").alias("group_hash")
-    )
-    return found.distinct()
+    labels = named.join(best, "component").select(*same, "best")
+    return found.join(labels, same).select("doc_id", "hash", F.col("best.doc_id").alias("group_doc_id"), F.col("best.hash").alias("group_hash")).distinct()
 
 
 def dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` that stay: one of each group of ``near_groups``, the one with the least doc_id."""
-    groups = near_groups(docs, words, similarity)
-    kept = groups.select(F.col("group_doc_id").alias("_d"), F.col("group_hash").alias("_h")).distinct()
-    rows = docs.withColumn("_hash", F.xxhash64("text"))
-    rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_hash") == F.col("_h")))
-    return rows.dropDuplicates(["_d", "_h"]).select(*docs.columns)
+    """The rows of ``docs`` that stay: one of each group of ``near_groups``, the one with the least doc_id.
+
+    Null doc_ids come first.  Repeated rows are one document; columns of any name may
+    stand beside doc_id and text.  An empty table gives an empty result.
+    """
+    groups = near_groups(docs.select("doc_id", "text"), words, similarity)
+    kept = groups.select(F.col("group_doc_id").alias("d"), F.col("group_hash").alias("h")).distinct()
+    rows = docs.select(packed(docs).alias("row"), "doc_id", F.xxhash64("text").alias("hash"))
+    rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("hash") == F.col("h")))
+    return rows.dropDuplicates(["d", "h"]).select(*unpacked(docs))

@@ -35,19 +35,20 @@ class Sets:
 # Components and SimHash
 
 
-def test_components(spark):
+@pytest.mark.parametrize("hub", [500, 3])
+def test_components(spark, monkeypatch, hub):
+    monkeypatch.setattr(components, "HUB", hub)
     made = random.Random(1)
     pairs = [(i, i + 1) for i in range(60)] + [(made.randint(100, 180), made.randint(100, 180)) for _ in range(60)] + [(7, 7), (200, 201), (201, 200)]
+    pairs += [(300, 301 + i) for i in range(30)] + [(315, 400 + i) for i in range(20)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
-    sets = Sets()
-    for a, b in pairs:
-        sets.join(a, b)
-    assert got == {x: sets.top(x) for p in pairs if p[0] != p[1] for x in p}
+    assert got == partition(pairs, {x for p in pairs if p[0] != p[1] for x in p})
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-@pytest.mark.parametrize("most", [1, 3])
-def test_links_lose_none(spark, most):
+@pytest.mark.parametrize("most, group", [(1, 4096), (3, 4096), (3, 5)])
+def test_links_lose_none(spark, monkeypatch, most, group):
+    monkeypatch.setattr(simhash, "GROUP", group)
     made, seen = random.Random(2), set()
     for _ in range(60):
         base = made.getrandbits(64)
@@ -57,10 +58,18 @@ def test_links_lose_none(spark, most):
                 x ^= 1 << bit
             seen.add(x)
     rows = sorted(x - (1 << 64) if x >> 63 else x for x in seen)
-    got = {(r.a, r.b) for r in simhash.links(spark.createDataFrame([(x,) for x in rows], "fp long"), most).collect()}
+    got = [(r.a, r.b) for r in simhash.links(spark.createDataFrame([(x,) for x in rows], "fp long"), most).collect()]
     bits = np.array(rows, np.int64).view(np.uint64)
-    want = {(rows[i], rows[j]) for i in range(len(rows)) for j in np.flatnonzero(np.bitwise_count(bits[i] ^ bits) <= most) if i < j}
-    assert got == want and len(want) > 100
+    want = [(rows[i], rows[j]) for i in range(len(rows)) for j in np.flatnonzero(np.bitwise_count(bits[i] ^ bits) <= most) if i < j]
+    assert {tuple(sorted(p)) for p in got} <= set(want) and len(want) > 100
+    assert partition(got, rows) == partition(want, rows)
+
+
+def partition(pairs, nodes):
+    sets = Sets()
+    for a, b in pairs:
+        sets.join(a, b)
+    return {x: sets.top(x) for x in nodes}
 
 
 def fingerprint(text, n=3):
@@ -108,36 +117,60 @@ def near_copies(count, seed=4):
     return rows
 
 
-def test_near_groups(spark, odd_docs, no_docs):
+def brute_groups(known, similarity=0.8):
+    """Least doc_id reachable over similar pairs, for every doc_id."""
+    holders, sets = defaultdict(list), Sets()
+    for a, own in known.items():
+        sets.top(a)
+        for b in {b for x in own for b in holders[x]} if own else [b for b in known if b < a and not known[b]]:
+            both = len(own & known[b])
+            if both >= similarity * len(own | known[b]):
+                sets.join(a, b)
+        for x in own:
+            holders[x].append(a)
+    return {a: sets.top(a) for a in known}
+
+
+@pytest.mark.parametrize("group, hot", [(4096, 1000), (6, 10)])
+def test_near_groups(spark, monkeypatch, group, hot):
+    monkeypatch.setattr(simhash, "GROUP", group)
+    monkeypatch.setattr(simhash, "HOT", hot)
+    monkeypatch.setattr(simhash, "BLOCK", 16)
     rows = near_copies(40)
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    made = random.Random(11)
+    # Short texts: 4 shingles against 5, and up to 30; a passage that many share.
+    for n in [8, 8, 9, 12, 16, 24, 34] * 12:
+        words = [f"w{made.randint(0, 10**6)}" for _ in range(n)]
+        for text in (words, [*words, "more"], ["else", *words[1:]]):
+            rows.append((len(rows), " ".join(text), "en", "s", 1))
+    passage = " ".join(f"common{i}" for i in range(40))
+    rows += [(len(rows) + i, passage + " " + " ".join(f"own{i}x{j}" for j in range(made.randint(2, 60))), "en", "s", 1) for i in range(50)]
+    docs = spark.createDataFrame(rows, odd_schema())
     got = {r.doc_id: r.group_doc_id for r in simhash.near_groups(docs).collect()}
-    sets, known = Sets(), {r[0]: shingles(r[1]) for r in rows}
-    links = []
-    for a in known:
-        for b in range(a):
-            both = len(known[a] & known[b])
-            if both >= 0.8 * len(known[a] | known[b]):
-                links.append((a, b))
-                sets.join(a, b)
-    assert sum(got[a] == got[b] for a, b in links) >= 0.95 * len(links)
-    assert all(sets.top(a) == sets.top(b) for a in got for b in [got[a]])
+    want = brute_groups({r[0]: shingles(r[1]) for r in rows})
+    assert got == want and len(set(want.values())) < len(want) - 100
     kept = simhash.dedup(docs)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(got.values())
+
+
+def test_near_groups_of_odd_tables(spark, odd_docs, no_docs):
     odd = simhash.dedup(odd_docs)
-    assert odd.columns == odd_docs.columns and odd.groupBy("doc_id", "text").count().where("count > 1").count() == 0
-    assert odd.where("doc_id = 5").count() == 1
+    assert odd.dtypes == odd_docs.dtypes
+    rows = [(r.doc_id, r.text) for r in odd_docs.collect()]
+    places = brute_groups({i: shingles(t) for i, (_, t) in enumerate(rows)})
+    least = {}
+    for i, g in places.items():
+        least[g] = min(least.get(g, rows[i]), rows[i], key=lambda r: (r[0] is not None, r[0] or 0))
+    assert Counter(r.doc_id for r in odd.collect()) == Counter(d for d, _ in least.values())
     assert simhash.dedup(no_docs).count() == 0
 
 
 def test_blocks_of_a_large_group(spark, monkeypatch):
     monkeypatch.setattr(simhash, "BLOCK", 5)
     rows = [(i, 1, [*range(100), 1000 + i]) for i in range(30)] + [(50 + i, 2, list(range(i * 100, i * 100 + 100))) for i in range(12)]
-    found = simhash.exact_links(spark.createDataFrame(rows, "id long, component long, shingles array<long>"), 0.8).collect()
-    sets = Sets()
-    for r in found:
-        sets.join(r.a, r.b)
-    assert len({sets.top(i) for i in range(30)}) == 1 and all(r.a < 50 for r in found)
+    rows = [(*r, simhash.majority(np.array(r[2], np.uint64) * np.uint64(0x9E3779B97F4A7C15), simhash.WIDE_LONGS)) for r in rows]
+    found = simhash.exact_links(spark.createDataFrame(rows, "id long, component long, shingles array<long>, wide array<long>"), 0.8).collect()
+    assert len(set(partition([(r.a, r.b) for r in found], range(30)).values())) == 1 and all(r.a < 50 for r in found)
 
 
 # Lines
