@@ -1,41 +1,48 @@
 """Secret scans: base patterns, and formats learned by grammar inference.
 
-Labelled credentials, made by rule for a list of public formats, and labelled
-ordinary tokens are each put into a prefix tree; statistically compatible states are
-merged (ALERGIA: red and blue states, Hoeffding tests) into a probabilistic
-automaton.  Every candidate token of every text is scored by how much likelier the
-credential automaton makes it than the ordinary one, per symbol.
-
-The automata are small, trained on the driver from the built-in labels, and travel
-with the task.  Texts are scanned whole where they are; nothing is shuffled.
+Labelled tokens come from the corpus: what the base patterns find in a bounded sample of
+documents are credentials, other tokens of the sample are ordinary.  Specimens of public
+formats and of common kinds of ordinary tokens, made by rule, are added, so that a
+corpus without secrets has labels too.  Each class is put into a prefix tree over
+classes of characters; statistically compatible states are merged (ALERGIA: red and blue
+states, Hoeffding tests) into a probabilistic automaton.  Every candidate token of every
+text is scored by how much likelier the credentials' automaton makes its format than the
+ordinary one.
+
+The automata are small, trained on the driver from at most ``MOST_LABELLED`` tokens of
+each class, and travel with the task.  Texts are scanned whole where they are; nothing
+of the corpus but the sample is shuffled.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
 import random
 import re
 import string
 from collections import deque
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from callweave.llm.common import arrow_map
 
 KINDS = ("assign", "access", "hex", "format")
-#: Labelled tokens of each format, and the level of the test that keeps states apart.
+#: Specimens of each format or kind, and the level of the test that keeps states apart.
 SAMPLES, ALPHA = 120, 0.05
-#: Log-likelihood ratio per symbol from which a candidate is taken.
-THRESHOLD = 1.25
-SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
+#: Documents that labels are taken from, with base spans and at large; tokens of each class; all by least hash.
+MOST_DOCUMENTS, MOST_LABELLED = 1_000, 2_000
+#: A candidate has so many characters; it is taken from so much log-likelihood in favour, in all and per character.
+LENGTH, TOTAL, EACH = 8, 16.0, 0.8
 
 # The base patterns.
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
-_CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{16,}")
+_ANY_BASE = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}"""
+_RUN = re.compile(r"[A-Za-z0-9+/_.=-]{8,}")
 
 _ALNUM, _UPPER, _BASE64 = string.ascii_letters + string.digits, string.ascii_uppercase + string.digits, string.ascii_letters + string.digits + "-_"
 # Public credential formats, as (prefix, alphabet, length) parts.
@@ -57,14 +64,14 @@ FORMATS = (
 )
 
 
-def labelled_credentials(n: int = SAMPLES, seed: int = 7) -> list[str]:
-    """``n`` credentials of every format."""
+def labelled_credentials(n: int = SAMPLES, seed: int = 7, formats: tuple = FORMATS) -> list[str]:
+    """``n`` specimens of every format."""
     made = random.Random(seed)
-    return ["".join(p + "".join(made.choices(a, k=k)) for p, a, k in parts) for parts in FORMATS for _ in range(n)]
+    return ["".join(p + "".join(made.choices(a, k=k)) for p, a, k in parts) for parts in formats for _ in range(n)]
 
 
 def ordinary_tokens(n: int = SAMPLES, seed: int = 8) -> list[str]:
-    """``n`` of each kind of long token that is no credential: words, names, numbers, paths, hosts, versions, dates."""
+    """``n`` of each kind of long token that is no credential: words, names, numbers, identifiers, paths, hosts, versions, dates."""
     made = random.Random(seed)
     word = lambda k=0: "".join(made.choices(string.ascii_lowercase, k=k or made.randint(3, 8)))
     number = lambda k: "".join(made.choices(string.digits, k=k))
@@ -81,6 +88,7 @@ def ordinary_tokens(n: int = SAMPLES, seed: int = 8) -> list[str]:
         lambda: f"{word()}{number(1)}.{word()}.com",
         lambda: number(made.randint(16, 20)),
         lambda: "-".join(number(4) for _ in range(4)),
+        lambda: "-".join("".join(made.choices("0123456789abcdef", k=k)) for k in (8, 4, 4, 4, 12)),
         lambda: f"{number(4)}-{number(2)}-{number(2)}T{number(2)}",
         lambda: f"{word(5)}-{number(1)}.{number(2)}.{number(1)}",
         lambda: made.choice("=-_.") * made.randint(16, 40),
@@ -88,13 +96,21 @@ def ordinary_tokens(n: int = SAMPLES, seed: int = 8) -> list[str]:
     return [kind() for kind in kinds for _ in range(n)]
 
 
-HEAD = 5
+def _symbol(c: str) -> str:
+    """Classes of characters: letters by case and by use in hexadecimal numbers, digits; others are themselves."""
+    if c.isdigit():
+        return "d"
+    if c.isalpha():
+        return ("h" if c in "abcdef" else "l") if c.islower() else ("H" if c in "ABCDEF" else "U")
+    return c
 
 
-def symbols(token: str) -> list[str]:
-    """The first characters as they are, then classes of characters."""
-    tail = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.isalpha() else c for c in token[HEAD:]]
-    return [f"={c}" for c in token[:HEAD]] + tail
+_CLASSES = str.maketrans({c: _symbol(c) for c in string.printable})
+
+
+def symbols(token: str) -> str:
+    """One class for each character."""
+    return token.translate(_CLASSES)
 
 
 class Automaton:
@@ -181,33 +197,61 @@ class Automaton:
         return out
 
 
-#: Log-probability of a symbol that a state has never seen.
-UNSEEN = math.log(1e-4)
+#: Log-probability of a symbol that a state has never seen, and formats whose scores a task keeps.
+UNSEEN, MOST_KEPT = math.log(1e-3), 200_000
+
 
+def log_likelihood(automaton: list[dict[str, tuple[float, int]]], classes: str) -> float:
+    """Log-probability of a sequence of classes; how it ends does not count, since runs may be cut anywhere.
 
-def log_likelihood(automaton: list[dict[str, tuple[float, int]]], token: str) -> float:
-    """Mean log-probability per symbol, the end included."""
-    total, at, n = 0.0, 0, 0
-    for s in symbols(token):
+    After a class that a state has never seen the sequence goes on as from the start.
+    """
+    total, at = 0.0, 0
+    for s in classes:
         step = automaton[at].get(s)
         total += step[0] if step else UNSEEN
-        at = step[1] if step else at
-        n += 1
-    return (total + automaton[at][""][0]) / (n + 1)
+        step = step or automaton[0].get(s)
+        at = step[1] if step else 0
+    return total
+
+
+def candidates(text: str) -> Iterator[tuple[int, list[str]]]:
+    """(start, parts) of every run that may hold a credential: what stands between ``=`` signs, with its ends bare of marks.
+
+    ``parts`` has the whole first, then what stands between slashes and dots in it.
+    """
+    for run in _RUN.finditer(text):
+        at = run.start()
+        for piece in run[0].split("="):
+            bare = piece.strip("+/_.-")
+            if len(bare) >= LENGTH:
+                yield at + piece.index(bare), [bare, *([x for x in re.split("[/.]", bare) if len(x) >= LENGTH] if "/" in bare or "." in bare else [])]
+            at += len(piece) + 1
 
 
 class Scanner:
     """Base spans and scored candidates of a text."""
 
-    def __init__(self, credential: list, ordinary: list, threshold: float = THRESHOLD):
-        self.credential, self.ordinary, self.threshold = credential, ordinary, threshold
+    def __init__(self, credential: list, ordinary: list, total: float = TOTAL, each: float = EACH):
+        self.credential, self.ordinary, self.total, self.each = credential, ordinary, total, each
+        self._kept: dict[str, float] = {}
 
     @classmethod
-    def trained(cls, alpha: float = ALPHA, threshold: float = THRESHOLD) -> Scanner:
-        return cls(Automaton(labelled_credentials(), alpha).compact(), Automaton(ordinary_tokens(), alpha).compact(), threshold)
+    def trained(cls, credentials: list[str], others: list[str], alpha: float = ALPHA, formats: tuple = FORMATS) -> Scanner:
+        known = labelled_credentials(formats=formats) + credentials
+        return cls(Automaton(known, alpha).compact(), Automaton(ordinary_tokens() + others, alpha).compact())
 
     def score(self, token: str) -> float:
-        return log_likelihood(self.credential, token) - log_likelihood(self.ordinary, token)
+        """Log-likelihood ratio of the token's format."""
+        classes = symbols(token)
+        if (found := self._kept.get(classes)) is None:
+            if len(self._kept) > MOST_KEPT:
+                self._kept.clear()
+            found = self._kept[classes] = log_likelihood(self.credential, classes) - log_likelihood(self.ordinary, classes)
+        return found
+
+    def takes(self, token: str) -> bool:
+        return self.score(token) >= max(self.total, self.each * len(token))
 
     def base(self, text: str) -> list[tuple[int, int, int]]:
         """(start, kind, end) in order of start, then kind."""
@@ -221,27 +265,68 @@ class Scanner:
         return sorted(found)
 
     def more(self, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-        """Candidates that touch no base span and score the threshold or more."""
+        """Candidates whose format is likely, but for what lies in a base span.
+
+        Parts of a candidate that are likelier, by character, than the whole come in its place.
+        """
         out = []
-        for m in _CANDIDATE.finditer(text):
-            token = m.group().rstrip(".=")
-            a, b = m.start(), m.start() + len(token)
-            if len(token) >= 16 and not any(s < b and a < e for s, _, e in base) and self.score(token) >= self.threshold:
-                out.append((a, 3, b))
+        for start, (whole, *parts) in candidates(text):
+            found = [whole] if self.takes(whole) else []
+            if better := [p for p in parts if self.takes(p) and (not found or self.score(p) / len(p) > self.score(whole) / len(whole))]:
+                found = better
+            at = 0
+            for token in found:
+                at = whole.index(token, at)
+                a, b = start + at, start + at + len(token)
+                at += len(token)
+                if not any(s <= a and b <= e for s, _, e in base):
+                    out.append((a, 3, b))
         return out
 
 
-def _joined(spans: list[tuple[int, int, int]]) -> str:
-    return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
+def labels(texts: list[str]) -> tuple[list[str], list[str]]:
+    """Credentials (what the base patterns find) and other candidates of some texts."""
+    scanner = Scanner([], [])
+    credentials, others = [], []
+    for text in texts:
+        base = scanner.base(text)
+        credentials += [m[2] for m in _ASSIGN.finditer(text) if len(m[2]) >= LENGTH]
+        credentials += [text[a:b] for a, kind, b in base if kind]
+        others += [parts[0] for at, parts in candidates(text) if not any(s < at + len(parts[0]) and at < e for s, _, e in base)]
+    return credentials, others
 
 
-def scan(docs: DataFrame, alpha: float = ALPHA, threshold: float = THRESHOLD) -> DataFrame:
+def train(docs: DataFrame, alpha: float = ALPHA) -> Scanner:
+    """A scanner with labels from ``docs`` (doc_id, text) and the specimens.
+
+    Labels come from at most ``MOST_DOCUMENTS`` documents with base spans and as many of
+    all, those with the least hashes, and are at most ``MOST_LABELLED`` different tokens
+    of each class; rows with equal doc_id and text count once.
+    """
+    rows = docs.where("text is not null").select(F.xxhash64("doc_id", "text").alias("at"), "text")
+    least = lambda found: found.select("at").distinct().orderBy("at").limit(MOST_DOCUMENTS)
+    # At most 2 * MOST_DOCUMENTS numbers.
+    some = least(rows.where(F.col("text").rlike(_ANY_BASE))).union(least(rows)).distinct()
+    sample = rows.join(F.broadcast(some), "at").dropDuplicates(["at"]).select("text")
+
+    def work(batch: dict) -> dict:
+        pairs = {(kind, token) for kind, tokens in enumerate(labels(batch["text"])) for token in tokens}
+        return {"kind": [k for k, _ in pairs], "token": [t for _, t in pairs]}
+
+    found = arrow_map(sample, work, "kind int, token string").distinct()
+    by_hash = F.xxhash64("token")
+    known, others = ([r.token for r in found.where(F.col("kind") == k).orderBy(by_hash, "token").limit(MOST_LABELLED).collect()] for k in (0, 1))
+    return Scanner.trained(known, sorted(set(others) - set(known)), alpha)
+
+
+def scan(docs: DataFrame, scanner: Scanner | None = None) -> DataFrame:
     """(doc_id, spans: array of kind, start, end) for every row of ``docs`` (doc_id, text).
 
     Spans are in code points, the end exclusive, by start, then kind as in ``KINDS``.
-    A null text counts as empty and has none; repeated rows are scanned each.
+    A null text counts as empty and has none; repeated rows are scanned each, null
+    doc_ids stay null, other columns take no part, an empty table gives an empty result.
     """
-    scanner = Scanner.trained(alpha, threshold)
+    scanner = scanner or train(docs)
 
     def work(rows: dict) -> dict:
         out = []
@@ -254,19 +339,11 @@ def scan(docs: DataFrame, alpha: float = ALPHA, threshold: float = THRESHOLD) ->
     return arrow_map(docs.select("doc_id", "text"), work, "doc_id long, spans array<struct<kind:string,start:long,end:long>>")
 
 
-def report(docs: DataFrame, alpha: float = ALPHA, threshold: float = THRESHOLD) -> DataFrame:
-    """The op6 report: counts of base spans, their digest, and all spans."""
-    found = scan(docs, alpha, threshold)
-
-    def work(rows: dict) -> dict:
-        out = {c: [] for c in ("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")}
-        for doc_id, spans in zip(rows["doc_id"], rows["spans"], strict=True):
-            all_spans = [(s["start"], KINDS.index(s["kind"]), s["end"]) for s in spans]
-            base = [s for s in all_spans if s[1] < 3]
-            values = [doc_id, *[sum(k == i for _, k, _ in base) for i in range(3)]]
-            values += [hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(all_spans)]
-            for column, value in zip(out.values(), values, strict=True):
-                column.append(value)
-        return out
-
-    return arrow_map(found, work, SCHEMA)
+def report(docs: DataFrame, scanner: Scanner | None = None) -> DataFrame:
+    """The op6 report: counts of base spans, their digest, and all spans, for every row as ``scan`` has it."""
+    item = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
+    joined = lambda spans: F.array_join(F.transform(spans, item), ",")
+    base = F.filter("spans", lambda s: s["kind"] != KINDS[3])
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    found = scan(docs, scanner)
+    return found.select("doc_id", *map(count, KINDS[:3]), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
