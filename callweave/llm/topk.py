@@ -5,8 +5,9 @@ has its own part of every vector and knows partial scores only; a score is the s
 the nodes.
 
 1. Every node keeps, for each query and block of candidates, a list of its ``KEPT`` best
-   partial scores in order.  The best of each node are scored fully; the k-th best of
-   these is at most the final k-th best score: a safe cutoff c.
+   partial scores in order.  The whole scores of what all nodes list, and of each node's
+   very best, are known or computed; the k-th best of these is at most the final k-th
+   best score: a safe cutoff c.
 2. An entry whose partial scores are all below c / NODES cannot reach c, so each node is
    told c / NODES and sends its entries at or above it.  Lists that reach down to it are
    cut there; only blocks whose list ends above it are scanned again.
@@ -193,12 +194,16 @@ class Search:
         columns = ["node", "block", "ids", "part", "qids", "queries"]
         self.lists = lists = cut(arrow_map(meet.select(*columns), lambda batch: _local_lists(batch, kept), _LISTS, step=1))
 
-        heads = lists.select("qid", "node", F.explode(F.arrays_zip(F.slice("ids", 1, most).alias("id"), F.slice("scores", 1, most).alias("score"))).alias("e"))
-        best = Window.partitionBy("qid", "node").orderBy(F.desc("e.score"), "e.id")
-        heads = heads.withColumn("_place", F.row_number().over(best)).where(F.col("_place") <= most).select("qid", F.col("e.id").alias("id")).distinct()
-        order = Window.partitionBy("qid").orderBy(F.desc("rest"), "id")
-        kth = _scored(heads, asked, classes, dims).withColumn("_place", F.row_number().over(order)).where(F.col("_place") == most)
-        self.cutoffs = cut(kth.select("qid", F.col("rest").alias("cutoff"), F.ceil(F.col("rest") / F.lit(NODES).cast("decimal(1,0)")).cast("long").alias("part")))
+        listed = lists.select("qid", "node", F.explode(F.arrays_zip("ids", "scores")).alias("e")).select("qid", "node", F.col("e.ids").alias("id"), F.col("e.scores").alias("score"))
+        # Pairs that are on every node's lists have their whole score; of the others the best of each node are scored.
+        both = listed.groupBy("qid", "id").agg(F.sum("score").alias("score"), F.count("*").alias("n")).where(F.col("n") == NODES).select("qid", "score", "id")
+        best = Window.partitionBy("qid", "node").orderBy(F.desc("score"), "id")
+        heads = listed.withColumn("_place", F.row_number().over(best)).where(F.col("_place") <= most).select("qid", "id").distinct()
+        heads = _scored(heads, asked, classes, dims).select("qid", F.col("rest").alias("score"), "id")
+        order = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
+        kth = lambda rows: rows.withColumn("_place", F.row_number().over(order)).where(F.col("_place") == most).select("qid", "score")
+        safe = kth(both).unionByName(kth(heads)).groupBy("qid").agg(F.max("score").alias("cutoff"))
+        self.cutoffs = cut(safe.select("qid", "cutoff", F.ceil(F.col("cutoff") / F.lit(NODES).cast("decimal(1,0)")).cast("long").alias("part")))
 
         told = lists.join(self.cutoffs, "qid", "left")
         reaches = F.col("last").isNull() | (F.col("part") > F.col("last"))
