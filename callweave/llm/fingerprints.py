@@ -27,9 +27,9 @@ MODULUS = 1 << 32
 #: Cuts a text: line breaks, and blanks after these marks.
 CUT = r"[\n\r]+|(?<=[.!?,;:|]) +"
 #: A bucket of the order of documents holds about so many rows; there are so many buckets at most.
-BUCKET_ROWS, MOST_BUCKETS, QUANTILES = 2_000, 1 << 18, 64
+BUCKET_ROWS, MOST_BUCKETS, QUANTILES = 500, 1 << 20, 64
 #: Buckets that one task reads, on average.
-TASK_BUCKETS = 2
+TASK_BUCKETS = 8
 
 
 def pieces(text: Column) -> Column:
@@ -87,7 +87,7 @@ def _ordered(docs: DataFrame, key: str) -> tuple[DataFrame, int]:
     marks = [i / QUANTILES for i in range(QUANTILES + 1)]
     row = docs.agg(F.count("*").alias("n"), F.percentile_approx(key, F.array(*map(F.lit, marks)), 10_000).alias("q")).first()
     cuts = [int(x) for x in row.q or [0] * (QUANTILES + 1)]  # no key at all
-    inner = max(2, min(MOST_BUCKETS // QUANTILES, -(-row.n // (BUCKET_ROWS * QUANTILES))))
+    inner = max(1, min(MOST_BUCKETS // QUANTILES, -(-row.n // (BUCKET_ROWS * QUANTILES))))
     array = F.expr(f"array({', '.join(f'{x}L' for x in cuts)})")
     docs = docs.withColumn("_id", F.coalesce(F.col(key), F.lit(cuts[0] - 1)))
     docs = docs.withColumn("_q", F.size(F.filter(array, lambda x: x <= F.col("_id"))))
