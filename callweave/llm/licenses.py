@@ -11,61 +11,34 @@ and a counted loop for replaceable ones; a text has the license where the automa
 accepts a run of its words.  Runs are tried only where a word occurs that can begin
 a template, so a scan reads each text once.  Beside this the base phrases are found.
 
-Texts are scanned whole where they are; nothing is shuffled.
+Templates go to the end of a license's wording, so that one with an altered condition or
+disclaimer is not accepted; the notices that licenses ask for, their names and SPDX lines
+are templates with labels of their own.  Texts are scanned whole where they are; nothing
+is shuffled.
 """
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from callweave.llm.common import arrow_map
+from callweave.llm.license_texts import IDENTIFIERS, NOTICES, TEXTS
 
 # The base phrases and their labels.
 BASE = {("cc", "by"): "cc-by", ("general", "public", "license"): "gpl", ("all", "rights", "reserved"): "reserved"}
 
-#: Templates by label; several may share one.
+#: Templates by label; several may share one.  A whole text has the license's own label, a notice or a name ``notice:`` before it.
 TEMPLATES: tuple[tuple[str, str], ...] = (
-    ("mit", "[this <4> is] [released|licensed|distributed] under the [terms of the] mit license"),
-    (
-        "mit",
-        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"
-        " [the <6>] to deal in <8> without restriction including without limitation the rights to use copy modify merge publish distribute"
-        " sublicense and or sell copies of <8> and to permit persons to whom <8> is furnished to do so subject to the following conditions"
-        " <2> the above copyright notice and this permission notice [including the next paragraph] shall be included in all copies or substantial"
-        " portions of <8>",
-    ),
-    (
-        "isc",
-        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the"
-        " above copyright notice and this permission notice appear in all copies",
-    ),
-    (
-        "bsd",
-        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are"
-        " met <2> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
-    ),
-    ("bsd", "[released|licensed|distributed] under the [terms of the] [<1> clause] [new|simplified|modified] bsd <3> license"),
-    ("apache-2.0", "licensed under the apache license version 2 0 [the license]"),
-    ("apache-2.0", "[released|licensed|distributed] under the [terms of the] apache license [version] 2 0"),
-    ("mpl-2.0", "subject to the terms of the mozilla public license v 2 0"),
-    ("gpl", "licensed under the [terms of the] gnu [lesser|affero] general public license [version <2> [or [at your option any] later [version]]]"),
-    (
-        "gpl",
-        "this <6> is free software you can redistribute it and or modify it under the terms of the gnu [lesser|affero] general public license as"
-        " published by the free software foundation [either version <2> [of the license]]",
-    ),
-    ("cc-by", "licensed under [a|the] [creative commons] cc by <4>"),
-    ("cc-by-nc", "licensed under [a|the] cc by nc <4>"),
-    ("cc-by-sa", "licensed under [a|the] cc by sa <4>"),
-    ("cc-by", "licensed under [a|the] creative commons attribution <4> [international] license"),
-    ("copyright", "copyright [c] <12> all rights reserved"),
+    *TEXTS,
+    *[(f"notice:{label}", template) for label, template in NOTICES],
+    *[(f"spdx:{name.lower()}", f"spdx license identifier {name} [only|or later]") for name in IDENTIFIERS],
 )
-SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
-
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _MARKUP = re.compile(r"[\[\]|]|<\d+>|[^\s\[\]<>|]+")
+
 _LOWER = {i: i + 32 for i in range(65, 91)}
 
 
@@ -122,9 +95,10 @@ class TokenAutomaton:
                 self.free[at].append(end)
                 at = end
             else:
-                after = self._state()
-                self.by_word[at][t] = after
-                at = after
+                for word in words_of(t):
+                    after = self._state()
+                    self.by_word[at][word] = after
+                    at = after
             i += 1
         return at, i
 
@@ -140,6 +114,13 @@ class TokenAutomaton:
     def first_words(self) -> set[str]:
         return {w for s in self.start for w in self.by_word[s]}
 
+    def second_words(self, first: str) -> frozenset[str] | None:
+        """Words that may follow the first one; None if any may, or none need."""
+        after = self._closure({t for s in self.start if (t := self.by_word[s].get(first)) is not None})
+        if self.accepting in after or any(self.by_any[s] is not None for s in after):
+            return None
+        return frozenset(w for s in after for w in self.by_word[s])
+
     def longest(self, words: list[str], at: int) -> int | None:
         """End of the longest accepted run of words from ``at``, or None."""
         now, end = self.start, None
@@ -158,12 +139,12 @@ class LicenseScanner:
 
     def __init__(self, templates: tuple[tuple[str, str], ...] = TEMPLATES):
         self.templates = [(label, TokenAutomaton(t)) for label, t in templates]
-        self.by_first: dict[str, list[tuple[str, TokenAutomaton]]] = {}
+        self.by_first: dict[str, list[tuple[str, TokenAutomaton, frozenset[str] | None]]] = {}
         for label, automaton in self.templates:
             if any(automaton.by_any[s] is not None for s in automaton.start):
                 raise ValueError("a template must begin with a word")
             for word in automaton.first_words():
-                self.by_first.setdefault(word, []).append((label, automaton))
+                self.by_first.setdefault(word, []).append((label, automaton, automaton.second_words(word)))
         self.phrases: dict[str, list[tuple[tuple[str, ...], str]]] = {}
         for phrase, label in BASE.items():
             self.phrases.setdefault(phrase[0], []).append((phrase, label))
@@ -177,8 +158,9 @@ class LicenseScanner:
             for phrase, label in self.phrases.get(words[at], ()):
                 if tuple(words[at : at + len(phrase)]) == phrase:
                     base.append((at, label, at + len(phrase)))
-            for label, automaton in self.by_first.get(words[at], ()):
-                if (end := automaton.longest(words, at)) is not None:
+            after = words[at + 1] if at + 1 < len(words) else ""
+            for label, automaton, second in self.by_first.get(words[at], ()):
+                if (second is None or after in second) and (end := automaton.longest(words, at)) is not None:
                     more.append((at, label, end))
         return base, more
 
@@ -193,40 +175,44 @@ def covered(spans: list[tuple[int, str, int]]) -> int:
 
 
 def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
-    """(doc_id, n_words, base, found) for every row of ``docs`` (doc_id, text).
+    """(doc_id, n_words, base, found, covered) for every row of ``docs`` (doc_id, text).
 
     ``base`` and ``found`` are arrays of (start, label, end) in words, the end
-    exclusive: base phrases, and accepted runs of templates.  A null text counts as
-    empty; repeated rows are scanned each.
+    exclusive: base phrases, and accepted runs of templates; ``covered`` is the number
+    of words in any.  A null text counts as empty; repeated rows are scanned each, null
+    doc_ids stay null, other columns take no part, an empty table gives an empty result.
     """
     scanner = LicenseScanner(templates)
 
     def work(rows: dict) -> dict:
-        out = {"doc_id": rows["doc_id"], "n_words": [], "base": [], "found": []}
+        out = {"doc_id": rows["doc_id"], "n_words": [], "base": [], "found": [], "covered": []}
         for text in rows["text"]:
             words = words_of(text or "")
             base, more = scanner.scan(words)
             out["n_words"].append(len(words))
+            out["covered"].append(covered([*base, *more]))
             for name, spans in (("base", base), ("found", more)):
                 out[name].append([{"start": a, "label": x, "end": b} for a, x, b in spans])
         return out
 
     spans = "array<struct<start:long,label:string,end:long>>"
-    return arrow_map(docs.select("doc_id", "text"), work, f"doc_id long, n_words long, base {spans}, found {spans}")
+    return arrow_map(docs.select("doc_id", "text"), work, f"doc_id long, n_words long, base {spans}, found {spans}, covered long")
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """The op9 report: base places and labels, all labels, and the share of words in licensing wording."""
-
-    def work(rows: dict) -> dict:
-        out = {c: [] for c in ("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")}
-        for doc_id, n, base, found in zip(*(rows[c] for c in ("doc_id", "n_words", "base", "found")), strict=True):
-            starts = [s["start"] for s in base]
-            spans = [(s["start"], s["label"], s["end"]) for s in [*base, *found]]
-            values = [doc_id, n, len(base), min(starts, default=None), max(starts, default=None)]
-            values += [",".join(sorted({s["label"] for s in base})), ",".join(sorted({x for _, x, _ in spans})), covered(spans) / n if n else 0.0]
-            for column, value in zip(out.values(), values, strict=True):
-                column.append(value)
-        return out
-
-    return arrow_map(scan(docs), work, SCHEMA)
+    """The op9 report: base places and labels, all labels, and the share of words in licensing wording, for every row as ``scan`` has it."""
+
+    def joined(spans: Column) -> Column:
+        return F.array_join(F.array_sort(F.array_distinct(F.transform(spans, lambda s: s["label"]))), ",")
+
+    starts = F.transform("base", lambda s: s["start"])
+    return scan(docs).select(
+        "doc_id",
+        "n_words",
+        F.size("base").cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        joined(F.col("base")).alias("base_labels"),
+        joined(F.concat("base", "found")).alias("labels"),
+        F.when(F.col("n_words") > 0, F.col("covered") / F.col("n_words")).otherwise(0.0).alias("score"),
+    )

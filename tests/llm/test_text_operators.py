@@ -202,14 +202,85 @@ def test_labels_come_from_the_corpus(spark):
     assert scanner.score(secret + "999") > plain.score(secret + "999")
 
 
-def test_license_automata(spark):
-    text = "Licensed under CC BY-NC 4.0.\nCopyright (c) 2020 Some One. All rights reserved. Released under the MIT License, GNU General Public License"
-    rows = [(1, text), (2, None), (3, "all rights not reserved"), (4, "é all rights reserved")]
-    got = {r.doc_id: r for r in licenses.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got[1].base_labels == "cc-by,gpl,reserved" and got[1].labels == "cc-by,cc-by-nc,copyright,gpl,mit,reserved"
-    assert (got[1].n_base, got[1].first_word, got[1].n_words) == (3, 2, len(licenses.words_of(text)))
-    assert got[2].n_words == 0 and got[2].first_word is None and got[2].score == 0
-    assert got[3].labels == "" and (got[4].first_word, got[4].score) == (1, 0.75)
+LOWER = {i: i + 32 for i in range(65, 91)}
+
+
+def brute_words(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOWER))
+
+
+def as_regex(template):
+    """The template as a regular expression over words with a blank after each."""
+    out, bare = "", re.compile(r"[\[\]|]|<\d+>|[^\s\[\]<>|]+")
+    for t in bare.findall(template):
+        if t == "[":
+            out += "(?:"
+        elif t == "]":
+            out += ")?"
+        elif t == "|":
+            out += "|"
+        elif t[0] == "<":
+            out += f"(?:[^ ]+ ){{0,{t[1:-1]}}}"
+        else:
+            out += "".join(f"{re.escape(w)} " for w in brute_words(t))
+    return re.compile(out)
+
+
+def brute_licenses(text, regexes):
+    words = brute_words(text)
+    base = [(i, label) for i in range(len(words)) for phrase, label in licenses.BASE.items() if tuple(words[i : i + len(phrase)]) == phrase]
+    joined, at, found = " ".join(words) + " ", 0, []
+    for i, word in enumerate(words):
+        found += [(i, label) for label, r in regexes if (m := r.match(joined, at)) and m.end() > at]
+        at += len(word) + 1
+    return len(words), sorted(base), sorted(found)
+
+
+def whole_license(label):
+    template = dict(licenses.TEXTS)[label]
+    return re.sub(r"<\d+>", "holders", re.sub(r"\[([^\[\]|]*)(\|[^\[\]]*)?\]", r"\1", template))
+
+
+def license_texts(odd_docs):
+    rows = [(i, "é " + whole_license(label)) for i, (label, _) in enumerate(licenses.TEXTS)]
+    rows += [(100, None), (101, "all rights not reserved"), (102, "é all rights reserved"), (102, "é all rights reserved"), (None, "MIT License")]
+    rows += [(103, "SPDX-License-Identifier: GPL-2.0-or-later, GNU Lesser General Public License version 2.1 or later; CC0, BSD 3-Clause License")]
+    rows += [(r.doc_id, r.text) for r in odd_docs.collect()]
+    data = Path("/root/testdata/sf0.001/documents.parquet")
+    if data.exists():
+        import duckdb
+
+        rows += duckdb.sql(f"select doc_id + 2000, text from read_parquet('{data}')").fetchall()
+    return rows
+
+
+def test_licenses_against_brute_force(spark, odd_docs, no_docs):
+    rows = license_texts(odd_docs)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as base", "2 as found", "3 as covered", "4 as n_words")
+    regexes = [(label, as_regex(t)) for label, t in licenses.TEMPLATES]
+    want = []
+    for doc_id, text in rows:
+        n, base, found = brute_licenses(text, regexes)
+        names = lambda spans: ",".join(sorted({label for _, label in spans}))
+        want.append((doc_id, n, len(base), base[0][0] if base else None, base[-1][0] if base else None, names(base), names([*base, *found])))
+    got = licenses.report(docs)
+    assert sorted((tuple(r)[:7] for r in got.collect()), key=str) == sorted(want, key=str)
+    assert got.where("not (score between 0 and 1)").count() == 0 and sum(bool(w[6]) for w in want) > 15
+    assert licenses.report(no_docs).count() == 0
+    score = {r.doc_id: r.score for r in got.where("doc_id in (100, 102)").collect()}
+    assert score == {100: 0.0, 102: 0.75}
+
+
+@pytest.mark.parametrize("label", [label for label, _ in licenses.TEXTS])
+def test_altered_licenses_are_not_accepted(label):
+    scanner, text = licenses.LicenseScanner(licenses.TEXTS), whole_license(label)
+    found = lambda x: {name for _, name, _ in scanner.scan(brute_words(x))[1]}
+    assert label in found(text) and label in found(f"before {text} after")
+    words = brute_words(text)
+    for at in range(0, len(words), 7):
+        if words[at] not in ("holders", "names", "authors", "including", "the", "next", "paragraph", "and", "or", "name", "author") and label != "x11":
+            changed = " ".join([*words[:at], "changed", "words", *words[at + 1 :]])
+            assert label not in found(changed) or "holders" in words[max(0, at - 12) : at + 13], (label, at, words[at])
 
 
 @pytest.mark.parametrize(
