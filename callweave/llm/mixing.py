@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from callweave.llm.common import BLANKS, cut
+from callweave.llm.common import BLANKS, cut, packed, unpacked
 
 #: Documents rounded one after the other in one group, on average.
 GROUP = 96
@@ -177,20 +177,21 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
 
     A row that is taken twice is there twice.  The texts are shuffled once, to meet
     their copies; rows with equal doc_id, source and size are numbered in order of
-    their text's hash.
+    their text's hash.  Columns of any name may stand beside doc_id, text and source.
     """
     found = copies(sized(docs), weights, share, most).where("copies > 0")
     found = found.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_n"), F.col("_i").alias("_j"), "copies")
-    rows = docs.withColumn("_size", words())
-    number = Window.partitionBy("doc_id", "source", "_size").orderBy(F.xxhash64("text"))
-    rows = rows.withColumn("_row", F.row_number().over(number))
+    rows = docs.select(packed(docs).alias("row"), "doc_id", "source", words().alias("size"), F.xxhash64("text").alias("hash"))
+    number = Window.partitionBy("doc_id", "source", "size").orderBy("hash")
+    rows = rows.withColumn("at", F.row_number().over(number))
     same = (
         F.col("doc_id").eqNullSafe(F.col("_d"))
         & F.col("source").eqNullSafe(F.col("_s"))
-        & (F.col("_size") == F.col("_n"))
-        & (F.col("_row") == F.col("_j"))
+        & (F.col("size") == F.col("_n"))
+        & (F.col("at") == F.col("_j"))
     )
-    return rows.join(found, same).withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
+    taken = rows.join(found, same).withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return taken.select(*unpacked(docs))
 
 
 def report(docs: DataFrame) -> DataFrame:

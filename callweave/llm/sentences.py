@@ -17,7 +17,7 @@ import re
 
 from pyspark.sql import DataFrame
 
-from callweave.llm.common import arrow_map
+from callweave.llm.common import arrow_map, packed
 
 MARK = "▁"
 #: Entries of a task's table at most; it then starts afresh.
@@ -81,28 +81,27 @@ class ChunkTable:
         ]
 
 
-def encode(docs: DataFrame, model: str, keep_ids: bool = True, columns: list[str] | None = None) -> DataFrame:
-    """Every row of ``docs`` with ``ids`` (array of int) and ``decoded``, in place of nothing else.
+def encode(docs: DataFrame, model: str) -> DataFrame:
+    """(row, ids, decoded): every row of ``docs`` as a struct, its ids (array of int) and the text they are decoded to.
 
-    A null text counts as empty and has no ids.
+    A null text counts as empty and has no ids.  Columns of any name may stand beside text.
     """
-    columns = columns or docs.columns
-    kinds = dict(docs.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", ids array<int>, decoded string"
+    rows = docs.select(packed(docs).alias("row"))
 
     def make():
         chunks = ChunkTable(model)
 
-        def work(rows: dict) -> dict:
-            found = chunks.encode_batch([t or "" for t in rows["text"]])
-            return {c: rows[c] for c in columns} | {
+        def work(batch: dict) -> dict:
+            found = chunks.encode_batch([r["text"] or "" for r in batch["row"]])
+            return {
+                "row": batch["row"],
                 "ids": [[int(x) for x in ids.split(",")] if ids else [] for _, ids, _ in found],
                 "decoded": [d for _, _, d in found],
             }
 
         return work
 
-    return arrow_map(docs.select(*columns), None, schema, make, step=256)
+    return arrow_map(rows, None, f"row {dict(rows.dtypes)['row']}, ids array<int>, decoded string", make, step=256)
 
 
 def digests(docs: DataFrame, model: str) -> DataFrame:

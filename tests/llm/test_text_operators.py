@@ -52,7 +52,7 @@ def test_sentences_round_trip(spark, odd_docs, no_docs):
     for text, (n, ids, decoded) in zip(STRANGE, table.encode_batch(STRANGE), strict=True):
         assert (ids, decoded, n) == (",".join(map(str, model.encode(text))), model.decode(model.encode(text)), len(model.encode(text))), text
     row = sentences.encode(odd_docs.where("doc_id = 5").limit(1), PIECES).first()
-    assert row.ids == model.encode(row.text) and row.decoded == row.text and row.size == 1
+    assert row.ids == model.encode(row.row.text) and row.decoded == row.row.text and row.row.ids == "ids"
 
 
 def pieces_of(text):
