@@ -171,9 +171,13 @@ def _near_in_groups(columns: dict[str, np.ndarray], close: Close, similarity: fl
 WHOLE = 2
 
 
-def _dealt(rows: DataFrame) -> DataFrame:
-    """``rows`` (key, id, ...) with ``side``; keys with over ``GROUP`` rows are dealt into pairs of blocks with keys of their own."""
-    large = cut(rows.groupBy("key").agg(F.count("*").alias("_n")).where(F.col("_n") > GROUP).select("key", F.ceil(F.col("_n") / GROUP).alias("_blocks")))
+def _dealt(rows: DataFrame, counted: DataFrame, others: int = 0) -> DataFrame:
+    """``rows`` (key, id, ...) with ``side``; keys with over ``GROUP`` rows are dealt into pairs of blocks with keys of their own.
+
+    ``counted`` has the keys to count; of rows beyond it no key has over ``others``.
+    """
+    n = F.count("*") + others
+    large = cut(counted.groupBy("key").agg(n.alias("_n")).where(F.col("_n") > GROUP).select("key", F.ceil(F.col("_n") / GROUP).alias("_blocks")))
     number = large.count()
     if not number:
         return rows.withColumn("side", F.lit(WHOLE))
@@ -187,15 +191,15 @@ def _dealt(rows: DataFrame) -> DataFrame:
     return rows.drop("_n", "_blocks", "_block", "_other")
 
 
-def grouped_forests(rows: DataFrame, close: Close, similarity: float = 0.0) -> DataFrame:
+def grouped_forests(rows: DataFrame, close: Close, similarity: float = 0.0, counted: DataFrame | None = None, others: int = 0) -> DataFrame:
     """(a, b): for every ``key`` of ``rows`` (key, id, n, more numbers) a spanning forest of the pairs that are ``close``.
 
     Rows are dealt out by their key and read in order; a task holds one group, of
-    ``GROUP`` rows or some more, at a time.
+    ``GROUP`` rows or some more, at a time.  ``counted`` and ``others`` as in ``_dealt``.
     """
     import pyarrow as pa
 
-    rows = _dealt(rows).repartition("key").sortWithinPartitions("key", "n")
+    rows = _dealt(rows, rows if counted is None else counted, others).repartition("key").sortWithinPartitions("key", "n")
     names = rows.columns
 
     def run(batches):
@@ -317,7 +321,7 @@ def _profile(shingles: np.ndarray, similarity: float) -> dict:
     import xxhash
 
     f, digest = majority(shingles, LONGS), np.frombuffer(xxhash.xxh3_128_digest(shingles.tobytes()), np.int64)
-    keys = _first(shingles, similarity).view(np.int64).tolist()
+    keys = _first(shingles, similarity).view(np.int64)
     return {"n": len(shingles), "d0": int(digest[0]), "d1": int(digest[1]), "f0": f[0], "f1": f[1], "keys": keys}
 
 
@@ -336,18 +340,22 @@ def _hot(classes: DataFrame) -> np.ndarray:
     return np.sort(np.array([r.key for r in hot.select("key").collect()], np.int64)).view(np.uint64)
 
 
-def loose_links(classes: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) of ids of ``classes`` (id, n, f0, f1, keys): for every key a spanning forest of the classes that have it and are close."""
+def loose_links(classes: DataFrame, similarity: float, changed: DataFrame | None = None) -> DataFrame:
+    """(a, b) of ids of ``classes`` (id, n, f0, f1, keys): for every key a spanning forest of the classes that have it and are close.
+
+    Beside the ``changed`` classes no key has over ``HOT`` others, so theirs alone are counted.
+    """
     rows = classes.select(F.explode("keys").alias("key"), "id", "n", "f0", "f1")
-    return grouped_forests(rows, _near_bits, similarity)
+    counted = rows.where("1 = 0") if changed is None else changed.select(F.explode("keys").alias("key"))
+    return grouped_forests(rows, _near_bits, similarity, counted.select("key"), HOT)
 
 
 def _verified(members: list[dict], similarity: float) -> list[tuple[int, int]]:
     """A spanning forest of the pairs of a block pair whose sets are similar: both blocks' members, or one block's own."""
     members = sorted(members, key=lambda m: len(m["shingles"]))
     ids = [m["id"] for m in members]
-    sets = [np.array(m["shingles"], np.int64) for m in members]
-    wide = np.array([m["wide"] for m in members], np.int64).view(np.uint64).reshape(len(sets), -1)
+    sets = [np.frombuffer(m["shingles"], np.int64) for m in members]
+    wide = np.stack([np.frombuffer(m["wide"], np.uint64) for m in members])
     size = np.array([len(s) for s in sets])
     first = np.array([m["first"] for m in members])
     mixed = first.any() and not first.all()
@@ -367,15 +375,17 @@ def _verified(members: list[dict], similarity: float) -> list[tuple[int, int]]:
 
 
 def exact_links(sets: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) from ``sets`` (component, id, shingles, wide): links that connect what similar pairs within a component connect.
+    """(a, b) from ``sets`` (component, id, shingles, wide; numbers as bytes): links that connect what similar pairs within a component connect.
 
     A component is dealt by hash into blocks of about ``BLOCK`` sets and
     ``BLOCK_SHINGLES`` shingles; each pair of blocks is one group, so no task holds
     more than two blocks.
     """
-    parts = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.size("shingles")) / BLOCK_SHINGLES))
-    blocks = sets.groupBy("component").agg(parts.alias("blocks"))
-    rows = sets.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    parts = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.length("shingles") / 8) / BLOCK_SHINGLES))
+    large = cut(sets.groupBy("component").agg(parts.alias("blocks")).where("blocks > 1"))
+    # A component of several blocks has many sets; beyond the bound a plain join.
+    rows = sets.join(F.broadcast(large) if large.count() <= MOST_BROADCAST else large, "component", "left")
+    rows = rows.withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long"))).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     group = [F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")]
     rows = rows.select("component", *group, "id", "shingles", "wide", (F.col("block") <= F.col("other")).alias("first"))
@@ -412,16 +422,16 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
         return rows.select("id", "text").dropDuplicates(["id"])
 
     keyed = classes.select("id", "n", "f0", "f1", "keys")
-    hot = _hot(classes)
+    hot, changed = _hot(classes), None
     if len(hot):
         table = docs.sparkSession.createDataFrame([(x,) for x in hot.view(np.int64).tolist()], "key long")
-        changed = cut(keyed.select("id", F.explode("keys").alias("key")).join(F.broadcast(table), "key", "left_semi").select("id").distinct())
-        again = _sets(texts_of(changed), words, lambda s: {"keys": _first(s, similarity, hot).view(np.int64).tolist()}, "keys array<long>")
-        rest = keyed.join(changed, "id", "left_anti")
-        keyed = cut(rest.unionByName(keyed.drop("keys").join(again, "id")))
-    loose = cut(components(loose_links(keyed, similarity)).withColumnRenamed("node", "id"))
-    whole = lambda s: {"shingles": s.view(np.int64).tolist(), "wide": majority(s, WIDE_LONGS)}
-    sets = cut(_sets(texts_of(loose.select("id")), words, whole, "shingles array<long>, wide array<long>").join(loose, "id"))
+        some = cut(keyed.select("id", F.explode("keys").alias("key")).join(F.broadcast(table), "key", "left_semi").select("id").distinct())
+        again = _sets(texts_of(some), words, lambda s: {"keys": _first(s, similarity, hot).view(np.int64)}, "keys array<long>")
+        changed = cut(keyed.drop("keys").join(again, "id"))
+        keyed = keyed.join(some, "id", "left_anti").unionByName(changed)
+    loose = cut(components(loose_links(keyed, similarity, changed)).withColumnRenamed("node", "id"))
+    whole = lambda s: {"shingles": s.tobytes(), "wide": np.array(majority(s, WIDE_LONGS), np.int64).tobytes()}
+    sets = cut(_sets(texts_of(loose.select("id")), words, whole, "shingles binary, wide binary").join(loose, "id"))
     groups = components(exact_links(sets, similarity)).withColumnRenamed("node", "id")
     named = cut(classes.join(groups, "id", "left").select(*same, "first", F.coalesce("component", "id").alias("component")))
     best = named.groupBy("component").agg(F.min("first").alias("best"))

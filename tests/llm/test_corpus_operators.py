@@ -169,8 +169,10 @@ def test_near_groups_of_odd_tables(spark, odd_docs, no_docs):
 def test_blocks_of_a_large_group(spark, monkeypatch):
     monkeypatch.setattr(simhash, "BLOCK", 5)
     rows = [(i, 1, [*range(100), 1000 + i]) for i in range(30)] + [(50 + i, 2, list(range(i * 100, i * 100 + 100))) for i in range(12)]
-    rows = [(*r, simhash.majority(np.array(r[2], np.uint64) * np.uint64(0x9E3779B97F4A7C15), simhash.WIDE_LONGS)) for r in rows]
-    found = simhash.exact_links(spark.createDataFrame(rows, "id long, component long, shingles array<long>, wide array<long>"), 0.8).collect()
+    wide = lambda s: simhash.majority(np.array(s, np.uint64) * np.uint64(0x9E3779B97F4A7C15), simhash.WIDE_LONGS)
+    numbers = lambda x: bytearray(np.array(x, np.int64).tobytes())
+    rows = [(i, c, numbers(s), numbers(wide(s))) for i, c, s in rows]
+    found = simhash.exact_links(spark.createDataFrame(rows, "id long, component long, shingles binary, wide binary"), 0.8).collect()
     assert len(set(partition([(r.a, r.b) for r in found], range(30)).values())) == 1 and all(r.a < 50 for r in found)
 
 
