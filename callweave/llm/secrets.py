@@ -26,7 +26,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callweave.llm.common import arrow_map
+from callweave.llm.common import arrow_map, cut
 
 KINDS = ("assign", "access", "hex", "format")
 #: Specimens of each format or kind, and the level of the test that keeps states apart.
@@ -306,14 +306,14 @@ def train(docs: DataFrame, alpha: float = ALPHA) -> Scanner:
     rows = docs.where("text is not null").select(F.xxhash64("doc_id", "text").alias("at"), "text")
     least = lambda found: found.select("at").distinct().orderBy("at").limit(MOST_DOCUMENTS)
     # At most 2 * MOST_DOCUMENTS numbers.
-    some = least(rows.where(F.col("text").rlike(_ANY_BASE))).union(least(rows)).distinct()
+    some = cut(least(rows.where(F.col("text").rlike(_ANY_BASE))).union(least(rows)).distinct())
     sample = rows.join(F.broadcast(some), "at").dropDuplicates(["at"]).select("text")
 
     def work(batch: dict) -> dict:
         pairs = {(kind, token) for kind, tokens in enumerate(labels(batch["text"])) for token in tokens}
         return {"kind": [k for k, _ in pairs], "token": [t for _, t in pairs]}
 
-    found = arrow_map(sample, work, "kind int, token string").distinct()
+    found = cut(arrow_map(sample, work, "kind int, token string").distinct())
     by_hash = F.xxhash64("token")
     known, others = ([r.token for r in found.where(F.col("kind") == k).orderBy(by_hash, "token").limit(MOST_LABELLED).collect()] for k in (0, 1))
     return Scanner.trained(known, sorted(set(others) - set(known)), alpha)
