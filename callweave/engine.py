@@ -8,8 +8,10 @@ until the tables change.
 
 from __future__ import annotations
 
+import inspect
 import json
 import sys
+from collections.abc import Iterator
 from typing import TextIO
 
 from pyspark.sql import DataFrame, SparkSession
@@ -72,11 +74,13 @@ class Engine:
 
     def get_callees(self, name="", usr="", site="", filter="", **where) -> Answer:
         who = self._usr(name, usr, site, filter)
-        return {"callees": edges.callees(self["edges"], self["method_overrides"], self["function_returns"], who, self._filter(**where))}
+        found = edges.callees(self["edges"], self["method_overrides"], self["function_returns"], who, self._filter(**where))
+        return {"callees": edges.projected(found, self["nodes"])}
 
     def get_callers(self, name="", usr="", site="", filter="", **where) -> Answer:
         who = self._usr(name, usr, site, filter)
-        return {"callers": edges.callers(self["edges"], self["method_overrides"], self["function_returns"], who, self._filter(**where))}
+        found = edges.callers(self["edges"], self["method_overrides"], self["function_returns"], who, self._filter(**where))
+        return {"callers": edges.projected(found, self["nodes"])}
 
     def search_functions(self, query: str, limit: int = 25) -> Answer:
         return {"matches": identity.search(self["nodes"], query, limit)}
@@ -86,17 +90,24 @@ class Engine:
         named = from_name or from_usr or from_site
         starts = self._starts([self._usr(from_name, from_usr, from_site, from_filter)] if named else None)
         kept = self._filter(**where).apply(self.view)
-        answer = {"paths": paths.find_paths(starts, target, kept, max_depth, max_paths, max_fan_in, self["edges"])}
+        answer = {"paths": paths.named(paths.find_paths(starts, target, kept, max_depth, max_paths, max_fan_in, self["edges"]), self["nodes"])}
         if max_fan_in:
             answer["skipped_hubs"] = paths.skipped_hubs(starts, target, kept, self["edges"], max_depth, max_fan_in)
         return answer
 
     # Exceptions, contexts and locks
 
-    def query_exception_safety(self, function="", usr="", site="", filter="", exception_type="", entry_points=None) -> Answer:
+    def query_exception_safety(self, function="", usr="", site="", filter="", exception_type="", entry_points=None, use_class_hierarchy=False) -> Answer:
+        """``use_class_hierarchy``: handlers of bases among the indexed classes count too, not the standard ones alone."""
         target = self._usr(function, usr, site, filter)
-        rated = exceptions.protection(paths.find_paths(self._starts(entry_points), target, self.view, max_paths=100), self["call_sites"], exception_type)
-        return {"protection": exceptions.verdict(rated), "paths": rated}
+        found = cut(paths.find_paths(self._starts(entry_points), target, self.view, max_paths=100))
+        more = exceptions.hierarchy(self["derived_classes"]) if use_class_hierarchy else None
+        rated = cut(exceptions.protection(found, self["call_sites"], exception_type, more))
+        return {"protection": exceptions.verdict(rated, found, function or target, exception_type), "paths": rated}
+
+    def query_throw_propagation(self, **who) -> Answer:
+        """The same question from the side of the throw."""
+        return self.query_exception_safety(**who)
 
     def query_all_path_contexts(self, function="", usr="", site="", filter="", entry_points=None) -> Answer:
         target = self._usr(function, usr, site, filter)
@@ -114,6 +125,10 @@ class Engine:
             raise ValueError(f"no context at {call_site}")
         return found
 
+    def query_call_site(self, call_site: str) -> Answer:
+        """The first context at a site, or an empty record."""
+        return {"context": contexts.query_call_site(self["call_sites"], call_site)}
+
     def query_call_site_context(self, call_site: str, caller: str = "") -> Answer:
         """Several contexts without a caller are the candidates to choose a caller from."""
         return {"contexts": contexts.described(self._context(call_site, caller)).orderBy("caller_usr")}
@@ -124,7 +139,8 @@ class Engine:
 
     def _locks(self, target: str, max_depth: int, max_fan_in: int, entry_points) -> DataFrame:
         """``max_depth`` counts functions, so paths have one edge less."""
-        found = paths.find_paths(self._starts(entry_points), target, self.view, max_depth - 1, 512, max_fan_in, self["edges"], edge_simple=True)
+        real = self.view.where(~F.col("caller").endswith(PLACEHOLDER))
+        found = paths.find_paths(self._starts(entry_points), target, real, max_depth - 1, 512, max_fan_in, self["edges"], edge_simple=True)
         return exceptions.locks_on_paths(found, self["call_sites"])
 
     def query_locks_held(self, name="", usr="", site="", filter="", max_depth=20, max_fan_in=1000, entry_points=None) -> Answer:
@@ -152,8 +168,9 @@ class Engine:
             answer["overrides"] = summary.virtual_overrides(self["nodes"], self["method_overrides"], class_name)
         return answer
 
-    def list_entry_points(self) -> Answer:
-        return {"entry_points": self["nodes"].where("is_entry_point")}
+    def list_entry_points(self, names=None) -> Answer:
+        """The graph's entry points, or configured names as far as they are known."""
+        return {"entry_points": identity.entry_points(self["nodes"], names)}
 
     def graph_summary(self) -> Answer:
         return {
@@ -191,14 +208,15 @@ class Engine:
     # Maintenance
 
     def reindex_tu(self, file: str, facts: dict[str, DataFrame] | None = None) -> Answer:
-        """Replace what one unit contributed; ``facts`` are its new rows by table."""
-        before = self["edges"].count()
-        self.tables = merge.apply_delta(self.tables, file, facts or {})
-        if facts and "edge_tus" in facts:
-            self.tables["edges"] = edges.stored(self["edge_tus"])
+        """Replace what one unit contributed; ``facts`` are its new rows by table, none if it is gone."""
+        removed = merge.apply_delta(self.tables, [file], {})
+        counts = [self["edges"].count() - removed["edges"].count(), self["call_sites"].count() - removed["call_sites"].count()]
+        changed = merge.apply_delta(self.tables, [file], facts or {})
+        # Written, so that a chain of deltas does not grow.
+        self.tables = {n: df if df is self.tables[n] else cut(df) for n, df in changed.items()}
         self._view = None
-        after = self["edges"].count()
-        return {"totals": self.spark.createDataFrame([(file, before, after)], "file string, edges_before long, edges_after long")}
+        counts += [self["edges"].count(), self["call_sites"].count()]
+        return {"totals": self.spark.createDataFrame([(file, *counts)], "file string, edges_removed long, contexts_removed long, edges_after long, contexts_after long")}
 
     def call(self, tool: str, /, **args) -> dict:
         """The answer of a tool as plain values."""
@@ -215,6 +233,9 @@ class Engine:
             return {"error": str(e)}
 
 
+#: End of the usr of the caller that stands for an unknown one.
+PLACEHOLDER = "<indirect>"
+
 # The names of the tools.
 TOOLS = (
     "lookup_function",
@@ -241,22 +262,65 @@ TOOLS = (
 )
 
 
-def serve(engine: Engine, requests: TextIO = sys.stdin, replies: TextIO = sys.stdout) -> None:
-    """Answer JSON-RPC requests, one a line: tools/list, and tools/call with name and arguments."""
-    for line in requests:
+def schemas() -> list[dict]:
+    """Name, description and input schema of every tool, from its signature."""
+    out = []
+    for name in TOOLS:
+        method = getattr(Engine, name)
+        properties, required = {}, []
+        for p in list(inspect.signature(method).parameters.values())[1:]:
+            if p.kind is p.VAR_KEYWORD:
+                own = ("name", "usr", "site", "filter") if p.name == "who" else ("edge_kinds", "min_confidence", "include_confidences", "execution_contexts")
+                properties |= {n: {"type": "string" if n in ("name", "usr", "site", "filter", "min_confidence") else "array"} for n in own}
+                continue
+            kind = type(p.default)
+            properties[p.name] = {"type": {bool: "boolean", int: "integer", tuple: "array", type(None): "array"}.get(kind, "string")}
+            if p.default is p.empty:
+                required.append(p.name)
+        text = (method.__doc__ or name.replace("_", " ")).strip().split("\n")[0]
+        out.append({"name": name, "description": text, "inputSchema": {"type": "object", "properties": properties, "required": required}})
+    return out
+
+
+def _messages(requests: TextIO) -> Iterator[tuple[str, bool]]:
+    """(message, framed): one a line, or as many bytes as a Content-Length header says; told apart message by message."""
+    while line := requests.readline():
         if not line.strip():
             continue
+        if not line.lower().startswith("content-length:"):
+            yield line, False
+            continue
+        length = int(line.split(":", 1)[1])
+        while (line := requests.readline()).strip():
+            pass  # other headers
+        body = ""
+        while len(body.encode()) < length and (c := requests.read(1)):
+            body += c
+        yield body, True
+
+
+def serve(engine: Engine, requests: TextIO = sys.stdin, replies: TextIO = sys.stdout) -> None:
+    """Answer JSON-RPC requests: initialize, tools/list, and tools/call with name and arguments.
+
+    A reply is framed as its request was; requests without an id get none.
+    """
+    for message, framed in _messages(requests):
         reply: dict = {"jsonrpc": "2.0", "id": None}
         try:
-            request = json.loads(line)
-            reply["id"], params = request.get("id"), request.get("params", {})
-            if request.get("method") == "tools/list":
-                reply["result"] = {"tools": [{"name": n} for n in TOOLS]}
-            elif request.get("method") == "tools/call":
+            request = json.loads(message)
+            reply["id"], params, method = request.get("id"), request.get("params", {}), request.get("method")
+            if method == "tools/list":
+                reply["result"] = {"tools": schemas()}
+            elif method == "tools/call":
                 reply["result"] = engine.call(params.get("name", ""), **params.get("arguments", {}))
+            elif method == "initialize":
+                reply["result"] = {"capabilities": {"tools": {}}, "serverInfo": {"name": "callweave"}}
+            elif "id" not in request:
+                continue
             else:
-                reply["error"] = {"code": -32601, "message": f"unknown method: {request.get('method')}"}
+                reply["error"] = {"code": -32601, "message": f"unknown method: {method}"}
         except json.JSONDecodeError as e:
             reply["error"] = {"code": -32700, "message": str(e)}
-        replies.write(json.dumps(reply) + "\n")
+        text = json.dumps(reply)
+        replies.write(f"Content-Length: {len(text.encode())}\r\n\r\n{text}" if framed else text + "\n")
         replies.flush()

@@ -74,6 +74,44 @@ def linkage_name(gva: Column) -> Column:
     return label
 
 
+def lambda_name(site: Column, enclosing: Column) -> Column:
+    """Display name of a lambda: its place, and the function around it or the unit."""
+    return F.concat(F.lit("lambda#"), site, F.lit("#"), F.when(F.coalesce(enclosing, F.lit("")) == "", "<tu>").otherwise(enclosing))
+
+
+def lambda_usr(name: Column) -> Column:
+    """Identity of a lambda: its name, which is stable, apart from other identities."""
+    return F.concat(F.lit("lambda:"), name)
+
+
+def template_args(args: Column) -> Column:
+    """Template arguments as written at an instantiation and at a specialisation alike: canonical spellings, comma-joined.
+
+    ``args`` are spellings from the fact boundary; blanks are made one, none beside marks.
+    """
+    canonical = lambda a: F.regexp_replace(F.regexp_replace(F.trim(a), r"\\s+", " "), r" ?([<>,&*]) ?", "$1")
+    return F.array_join(F.transform(args, canonical), ", ")
+
+
+#: Characters and lines of a handler's body, characters of a condition, that facts keep.
+BODY, BODY_LINES, CONDITION = 160, 3, 200
+
+
+def body_summary(text: Column) -> Column:
+    """The first lines of a handler's body, cut to ``BODY`` characters."""
+    return F.substring(F.array_join(F.slice(F.split(text, "\n"), 1, BODY_LINES), "\n"), 1, BODY)
+
+
+def condition_text(text: Column) -> Column:
+    """A condition, cut to ``CONDITION`` characters."""
+    return F.substring(text, 1, CONDITION)
+
+
+def companion(usr_parameter: str, suffix: str) -> str:
+    """The parameter beside an identity's: ``to_usr`` and ``site`` give ``to_site``, ``usr`` gives ``site``."""
+    return usr_parameter.removesuffix("usr") + suffix
+
+
 def line_of(text: Column, offset: Column) -> Column:
     """1-based line of a 0-based offset."""
     return F.size(F.split(F.substring(text, F.lit(1), offset), "\n"))

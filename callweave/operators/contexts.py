@@ -55,6 +55,15 @@ def described(contexts: DataFrame) -> DataFrame:
     )
 
 
+def query_call_site(call_sites: DataFrame, site: str) -> DataFrame:
+    """One row on the first context at a site; a site without any gives an empty record, not an error."""
+    wanted = call_sites.sparkSession.createDataFrame([(site,)], "call_site string")
+    known = described(first_by(at_site(call_sites, site), "call_site"))
+    both = wanted.join(known, "call_site", "left").fillna("").fillna(0).fillna(False)
+    empty = lambda c: F.coalesce(c, F.array().cast(dict(known.dtypes)[c])).alias(c)
+    return both.select(*[empty(c) if c in ("try_scopes", "guards") else c for c in known.columns])
+
+
 def ambiguous_sites(call_sites: DataFrame) -> DataFrame:
     """(call_site, contexts) of sites with several contexts: they need a caller to be told apart."""
     return call_sites.groupBy("call_site").agg(F.count("*").alias("contexts")).where("contexts > 1")

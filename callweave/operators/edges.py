@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callweave.operators.fixpoint import closure
+from callweave.operators.fixpoint import closure, min_dist
 from callweave.plans.schema import CONFIDENCES, EDGE_KINDS, EXEC_CONTEXTS, rank, require
 
 COLUMNS = ["caller", "callee", "call_site", "kind", "confidence", "exec_context", "indirection_depth"]
@@ -91,13 +91,23 @@ def expanded(edges: DataFrame, method_overrides: DataFrame, function_returns: Da
 
 
 def callees(edges: DataFrame, method_overrides: DataFrame, function_returns: DataFrame, caller: str, where: EdgeFilter = EdgeFilter()) -> DataFrame:
-    """Expanded edges out of one function; the key is pushed below the expansion."""
-    return where.apply(expanded(edges.where(F.col("caller") == caller), method_overrides, function_returns))
+    """Expanded edges out of one function; overrides are followed from what it calls alone."""
+    own = edges.where(F.col("caller") == caller)
+    starts = own.where(_plausible_virtual()).select(F.col("callee").alias("base_method"), F.col("callee").alias("node")).distinct()
+    steps = method_overrides.select(F.col("base_method").alias("src"), F.col("override_method").alias("dst"))
+    below = min_dist(starts, steps, key="base_method").where("dist > 0").select("base_method", F.col("node").alias("override_method"))
+    plain = own.where("kind <> 'FunctionPointerReturn'").select(*COLUMNS)
+    return where.apply(plain.unionByName(synthesized(own, below, function_returns)))
 
 
 def callers(edges: DataFrame, method_overrides: DataFrame, function_returns: DataFrame, callee: str, where: EdgeFilter = EdgeFilter()) -> DataFrame:
-    """Expanded edges into one function: direct ones, dispatch through its bases, and calls through what returns it."""
-    above = override_closure(method_overrides).where(F.col("override_method") == callee)
+    """Expanded edges into one function: direct ones, dispatch through its bases, and calls through what returns it.
+
+    Overrides are followed upwards from the function alone.
+    """
+    steps = method_overrides.select(F.col("override_method").alias("src"), F.col("base_method").alias("dst"))
+    above = min_dist(edges.sparkSession.createDataFrame([(callee,)], ["node"]), steps).where("dist > 0")
+    above = above.select(F.col("node").alias("base_method"), F.lit(callee).alias("override_method"))
     back = function_returns.where(F.col("returned_func") == callee)
     targets = above.select(F.col("base_method").alias("callee")).union(back.select("func")).union(above.sparkSession.createDataFrame([(callee,)], ["callee"]))
     part = edges.join(targets.distinct(), "callee", "left_semi")
@@ -105,6 +115,21 @@ def callers(edges: DataFrame, method_overrides: DataFrame, function_returns: Dat
     return where.apply(direct.unionByName(synthesized(part, above, back)))
 
 
+def materialised(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges with ``caller_name`` and ``callee_name``: display names, or the usr of functions without a node."""
+    name = lambda side: nodes.select(F.col("usr").alias(side), F.col("qualified_name").alias(f"{side}_name"))
+    both = rows.join(name("caller"), "caller", "left").join(name("callee"), "callee", "left")
+    return both.select(*rows.columns, *[F.coalesce(f"{s}_name", s).alias(f"{s}_name") for s in ("caller", "callee")])
+
+
+def projected(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``materialised`` edges for an answer: what is at its default is null, so that it is left out of JSON."""
+    unless = lambda c, default: F.when(F.col(c) != default, F.col(c)).alias(c)
+    shown = materialised(rows, nodes)
+    special = {"indirection_depth": unless("indirection_depth", 0), "exec_context": unless("exec_context", "Synchronous")}
+    return shown.select(*[special.get(c, F.col(c)) for c in shown.columns])
+
+
 def in_degree(edges: DataFrame) -> DataFrame:
     """(callee, in_degree): stored edges into each function, deferred ones included."""
     return edges.groupBy("callee").agg(F.count("*").alias("in_degree"))
@@ -116,10 +141,11 @@ def hubs(edges: DataFrame, max_fan_in: int) -> DataFrame:
 
 
 def collapse(path: Column, patterns: list[str]) -> Column:
-    """Whether a path has one of the patterns as whole segments."""
+    """Whether a path has one of the patterns between slashes of its own; the last segment, the file, has none after it."""
     hit = F.lit(False)
     for p in patterns:
-        hit = hit | F.contains(F.concat(F.lit("/"), path, F.lit("/")), F.lit(f"/{p.strip('/')}/"))
+        p = p if not p or p.startswith("/") else f"/{p}"
+        hit = hit | F.contains(path, F.lit(p if not p or p.endswith("/") else f"{p}/"))
     return hit
 
 

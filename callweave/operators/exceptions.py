@@ -36,6 +36,20 @@ def bare_type(name: str) -> str:
     return name.strip().removesuffix("&").removeprefix("const ").strip()
 
 
+def bare(name: Column) -> Column:
+    """``bare_type`` of a column."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.trim(name), "&$", ""), "^const ", ""))
+
+
+def hierarchy(derived_classes: DataFrame) -> dict[str, str]:
+    """A base of each class of (base, derived), for ``more`` of the tests below; of several the least name.
+
+    Class hierarchies of exceptions are small; the caller passes those that matter.
+    """
+    first = derived_classes.groupBy("derived").agg(F.min("base").alias("base"))
+    return {r.derived: r.base for r in first.collect()}
+
+
 def bases(exception: str, more: dict[str, str] | None = None) -> list[str]:
     """The type itself and every known base."""
     known, at, out = STANDARD_BASES | (more or {}), bare_type(exception), []
@@ -48,7 +62,6 @@ def bases(exception: str, more: dict[str, str] | None = None) -> list[str]:
 def catches(handlers: Column, exception: str, more: dict[str, str] | None = None) -> Column:
     """Whether one of a scope's handlers takes the exception; any scope does for no type."""
     names = bases(exception, more)
-    bare = lambda t: F.trim(F.regexp_replace(F.regexp_replace(F.trim(t), "&$", ""), "^const ", ""))
     return F.exists(handlers, lambda h: h["is_catch_all"] | bare(h["caught_type"]).isin(*names))
 
 
@@ -79,27 +92,47 @@ def path_contexts(paths: DataFrame, call_sites: DataFrame) -> DataFrame:
 
 
 def protection(paths: DataFrame, call_sites: DataFrame, exception: str = "", more: dict[str, str] | None = None) -> DataFrame:
-    """(rank, length, caught, caught_at, caught_by) of each path: the first scope from the entry that takes the exception."""
+    """(rank, length, caught, caught_at, caught_by) of each path: the first scope from the entry that takes the exception.
+
+    ``caught_by`` is the type of the first of its handlers that does, ``...`` for one of everything.
+    """
     rows = path_contexts(paths, call_sites)
     takes = lambda s: catches(s["handlers"], exception, more) if exception else F.lit(True)
     first = F.get(F.filter("scopes", takes), 0)
     names = bases(exception, more) or [""]
-    by = F.get(F.filter(first["handlers"], lambda h: h["is_catch_all"] | F.col("_all") | h["caught_type"].isin(*names)), 0)
-    rows = rows.withColumn("_all", F.lit(not exception)).withColumn("_by", by["caught_type"])
+    by = F.get(F.filter(first["handlers"], lambda h: h["is_catch_all"] | F.lit(not exception) | bare(h["caught_type"]).isin(*names)), 0)
+    rows = rows.withColumn("_by", F.when(by["is_catch_all"], "...").otherwise(by["caught_type"]))
     return rows.select("rank", "length", first.isNotNull().alias("caught"), F.coalesce(first["try_location"], F.lit("")).alias("caught_at"), F.coalesce("_by", F.lit("")).alias("caught_by"))
 
 
-def verdict(rated: DataFrame) -> DataFrame:
-    """One row: protection (always, sometimes, never, unknown), total and caught paths, a sentence."""
+def verdict(rated: DataFrame, paths: DataFrame | None = None, function: str = "", exception: str = "") -> DataFrame:
+    """One row: protection (always, sometimes, never, unknown), total and caught paths, a sentence.
+
+    The sentence names the first handler where every path is caught, and (with ``paths``)
+    the first path that is not where some are.
+    """
+    none = F.lit(None).cast("array<string>")
+    rows = rated.withColumn("nodes", none) if paths is None else rated.join(paths.select("rank", "nodes"), "rank")
     n, caught = F.count("*"), F.count_if("caught")
-    label = F.when(n == 0, "unknown").when(caught == n, "always_caught").when(caught == 0, "never_caught").otherwise("sometimes_caught")
+    first = F.min_by(F.struct("caught_by", "caught_at"), "rank")
+    uncaught = F.min_by("nodes", F.when(~F.col("caught"), F.col("rank")))
+    found = rows.agg(n.alias("total_paths"), caught.alias("caught_paths"), first.alias("_first"), F.array_join(uncaught, " -> ").alias("_open"))
+    total, caught = F.col("total_paths"), F.col("caught_paths")
+    label = F.when(total == 0, "unknown").when(caught == total, "always_caught").when(caught == 0, "never_caught").otherwise("sometimes_caught")
+    what = " ".join(x for x in (exception or "an exception", f"from {function}" if function else "") if x)
+    by = F.when(F.col("_first.caught_by") != "", F.concat(F.lit(" First by "), F.col("_first.caught_by"), F.lit(" at "), F.col("_first.caught_at"), F.lit("."))).otherwise("")
     text = (
-        F.when(n == 0, F.lit("No call path was found."))
-        .when(caught == n, F.format_string("Caught on all %d paths.", n))
-        .when(caught == 0, F.format_string("Not caught on any of %d paths.", n))
-        .otherwise(F.format_string("Caught on %d of %d paths.", caught, n))
+        F.when(total == 0, F.lit(f"No call path leads to {function or 'the function'}."))
+        .when(caught == total, F.concat(F.format_string(f"{what} is caught on all %d paths.", total), by))
+        .when(caught == 0, F.format_string(f"{what} is caught on none of %d paths.", total))
+        .otherwise(F.concat(F.format_string(f"{what} is caught on %d of %d paths.", caught, total), F.coalesce(F.concat(F.lit(" Not on: "), F.col("_open"), F.lit(".")), F.lit(""))))
     )
-    return rated.agg(label.alias("protection"), n.alias("total_paths"), caught.alias("caught_paths"), text.alias("summary"))
+    return found.select(label.alias("protection"), "total_paths", "caught_paths", text.alias("summary"))
+
+
+def throw_propagation(paths: DataFrame, call_sites: DataFrame, exception: str = "", more: dict[str, str] | None = None) -> DataFrame:
+    """What ``protection`` says, asked from the side of the throw."""
+    return protection(paths, call_sites, exception, more)
 
 
 def nearest_catches(target: str, edges: DataFrame, call_sites: DataFrame, max_depth: int = 20) -> DataFrame:

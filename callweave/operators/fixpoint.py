@@ -52,26 +52,40 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
+#: Levels that one written table covers while the frontier has so few rows.
+AT_ONCE, FEW = 4, 20_000
+
+
 def min_dist(starts: DataFrame, edges: DataFrame, max_depth: int | None = None, key: str | None = None) -> DataFrame:
     """(node, dist), or (key, node, dist): least number of edges from any start.
 
     ``starts``: (node) or (key, node).  ``edges``: (src, dst).  Starts have distance 0.
+    A large frontier goes one level at a time; a small one several, since the levels'
+    jobs then cost more than walking over a seen node again.
     """
     keys = [key] if key else []
     edges = edges.select("src", "dst").distinct().persist(StorageLevel.MEMORY_AND_DISK)
     seen = cut(starts.select(*keys, "node").distinct().withColumn("dist", F.lit(0)))
-    frontier, level = seen, 0
+    tables, frontier, level, few = 1, seen, 0, True
     while max_depth is None or level < max_depth:
-        level += 1
-        step = frontier.join(edges, frontier["node"] == edges["src"]).select(*keys, F.col("dst").alias("node")).distinct()
-        new = cut(step.join(seen.select(*keys, "node"), [*keys, "node"], "left_anti").withColumn("dist", F.lit(level)))
-        if new.isEmpty():
-            break
+        steps, at, walked = 1 if not few else AT_ONCE if max_depth is None else min(AT_ONCE, max_depth - level), frontier.select(*keys, "node"), None
+        for step in range(1, steps + 1):
+            at = at.join(edges, F.col("node") == F.col("src")).select(*keys, F.col("dst").alias("node")).distinct()
+            reached = at.withColumn("dist", F.lit(level + step))
+            walked = reached if walked is None else walked.unionByName(reached)
+        least = walked.groupBy(*keys, "node").agg(F.min("dist").alias("dist")) if steps > 1 else walked
+        new = cut(least.join(seen.select(*keys, "node"), [*keys, "node"], "left_anti"))
+        level += steps
+        frontier = new.where(F.col("dist") == level)
         if level >= MOST_LEVELS:
             raise RuntimeError(f"no fixpoint after {MOST_LEVELS} levels")
-        seen, frontier = seen.unionByName(new), new
-        if level % 8 == 0:
+        tables += 1
+        seen = seen.unionByName(new)
+        if tables % 8 == 0:
             seen = cut(seen)
+        if not (n := frontier.count()):
+            break
+        few = n <= FEW
     edges.unpersist()
     return seen
 

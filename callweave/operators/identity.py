@@ -94,6 +94,33 @@ def resolve(
     return Ambiguous(listed, found.count(), by_file)
 
 
+def by_name(rows: DataFrame, name: str, column: str = "qualified_name") -> DataFrame:
+    """All declarations of a name: overloads, guides and specialisations (by ``template_name``), initialisers, summaries."""
+    return rows.where(F.col(column) == name)
+
+
+def methods_of(rows: DataFrame, class_name: str) -> DataFrame:
+    """The methods of a class among rows with ``enclosing_class``."""
+    return by_name(rows, class_name, "enclosing_class")
+
+
+def classes_for(effective_impls: DataFrame, nodes: DataFrame, edges: DataFrame, name: str) -> DataFrame:
+    """(concrete_class) of the classes that a method, by usr or name, is the implementation for."""
+    usrs = candidates(nodes, edges, name).select(F.col("usr").alias("impl_method"))
+    return effective_impls.join(usrs, "impl_method", "left_semi").select("concrete_class").distinct()
+
+
+def entry_points(nodes: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """(name, usr, qualified_name, file, line) of the graph's entry points, or of configured names; unknown ones have nulls."""
+    shown = nodes.select("usr", "qualified_name", "file", "line")
+    if not names:
+        return nodes.where("is_entry_point").select(F.col("qualified_name").alias("name"), "usr", "qualified_name", "file", "line")
+    wanted = nodes.sparkSession.createDataFrame([(n,) for n in dict.fromkeys(names)], "name string")
+    # A handful of configured names.
+    hits = shown.join(F.broadcast(wanted), (F.col("usr") == F.col("name")) | (F.col("qualified_name") == F.col("name")))
+    return wanted.join(hits, "name", "left").select("name", "usr", "qualified_name", "file", "line")
+
+
 def search(nodes: DataFrame, query: str, limit: int = 25) -> DataFrame:
     """Functions whose name contains the query in any case: exact unqualified names, then prefixes, then the rest.
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from callweave.functions.scalars import set_fingerprint
+
 from callweave.operators.edges import COLUMNS as EDGE_KEY
 from callweave.operators.edges import stored
 
@@ -75,28 +79,90 @@ def remove_tus(edge_tus: DataFrame, tus: DataFrame) -> tuple[DataFrame, DataFram
     return left, gone
 
 
-def remove_call_sites(call_sites: DataFrame, tu: str) -> DataFrame:
-    """Contexts but those of a unit; those that name no unit go by the prefix of their site."""
-    own = (F.col("tu_path") == tu) | ((F.col("tu_path") == "") & F.col("call_site").startswith(f"{tu}:"))
-    return call_sites.where(~own)
+def units(spark: SparkSession, tus: list[str]) -> DataFrame:
+    """(tu_path) of a list of units."""
+    return spark.createDataFrame([(t,) for t in tus], "tu_path string")
+
+
+def remove_call_sites(call_sites: DataFrame, tus: DataFrame) -> DataFrame:
+    """Contexts but those of the units (tu_path); those that name no unit go by the file of their site."""
+    owner = F.when(F.col("tu_path") == "", F.regexp_extract("call_site", "^(.+):[0-9]+:[0-9]+$", 1)).otherwise(F.col("tu_path"))
+    return call_sites.withColumn("_owner", owner).join(tus.select(F.col("tu_path").alias("_owner")), "_owner", "left_anti")
+
+
+#: Tables whose rows count registrations of units, and the table of those.
+COUNTED = {"edges": "edge_tus", "channel_sites": "channel_site_tus"}
 
 
-def apply_delta(tables: dict[str, DataFrame], tu: str, facts: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """Tables after one unit was indexed again: its old rows go, its new rows come.
+def _recounted(old: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """A counted table after its registrations changed; rows that never had any stay as they are.
 
-    Class and override relations are only added to, never removed.
+    Registrations may be flat in other columns than the table's; both have the key in common.
     """
+    key = [c for c in old.columns if c != "refs"]
+    untagged = old.join(before.select(*key).distinct(), key, "left_anti") if not before.isEmpty() else old
+    return untagged.unionByName(after.groupBy(*key).agg(F.count("*").alias("refs")))
+
+
+def apply_delta(tables: dict[str, DataFrame], tus: str | list[str] | DataFrame, facts: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
+    """Tables after some units were indexed again: their old rows go, the new rows ``facts`` come.
+
+    Units without facts are removed.  A node goes with the last unit that contributed
+    to it; nodes that never had one stay.  Edges and channel sites are counted again
+    from their registrations.  Class and override relations are only added to.
+    """
+    facts = facts or {}
+    spark = next(iter(tables.values())).sparkSession
+    tus = units(spark, [tus] if isinstance(tus, str) else tus) if isinstance(tus, (str, list)) else tus.select("tu_path").distinct()
     out = dict(tables)
-    for name, new in facts.items():
-        old = tables[name]
-        if name in SETS or name in ("nodes", "fn_summaries"):
-            out[name] = absorb(name, [old, new])
-        elif name == "call_sites":
-            out[name] = remove_call_sites(old, tu).unionByName(new)
+    for name, old in tables.items():
+        if name in COUNTED or name in SETS or name in ("nodes", "fn_summaries"):
+            continue
+        if name == "call_sites":
+            out[name] = remove_call_sites(old, tus)
         elif "tu_path" in old.columns:
-            out[name] = old.where(F.col("tu_path") != tu).unionByName(new)
-        else:
-            out[name] = absorb(name, [old, new])
+            out[name] = old.join(tus, "tu_path", "left_anti").select(*old.columns)
+    for name, new in facts.items():
+        out[name] = absorb(name, [out[name], new]) if name in out else new
+    if "nodes" in tables and "node_tus" in tables:
+        # Contributed once, by nobody now.
+        gone = tables["node_tus"].select("usr").distinct().join(out["node_tus"].select("usr").distinct(), "usr", "left_anti")
+        kept = tables["nodes"].join(gone, "usr", "left_anti")
+        out["nodes"] = absorb("nodes", [kept, facts["nodes"]]) if "nodes" in facts else kept
+    for name, registrations in COUNTED.items():
+        if name in tables and registrations in tables:
+            out[name] = _recounted(tables[name], tables[registrations], out[registrations]).select(*tables[name].columns)
+    return out
+
+
+def warm_start(
+    tables: dict[str, DataFrame], old: DataFrame, new: DataFrame, index: Callable[[list[str]], dict[str, DataFrame]], same_config: bool = True
+) -> tuple[str, dict[str, DataFrame] | None]:
+    """("rebuild" | "unchanged" | "refreshed", tables): a snapshot brought up to date by its files' stamps (path, mtime_ns, size).
+
+    Another configuration asks for a rebuild.  Dropped files are removed, new and
+    changed ones come from ``index``; without any there is nothing to save again.
+    """
+    if not same_config:
+        return "rebuild", None
+    states = stamp_diff(old, new).where("state <> 'same'").collect()  # files to index again, a list the caller works through
+    if not states:
+        return "unchanged", tables
+    fresh = sorted(r.path for r in states if r.state != "dropped")
+    return "refreshed", apply_delta(tables, sorted(r.path for r in states), index(fresh) if fresh else {})
+
+
+def compact(tables: dict[str, DataFrame], rows: int = 1_000_000) -> dict[str, DataFrame]:
+    """The same rows in as few partitions as hold ``rows`` each; queries see no difference."""
+    return {name: df.coalesce(max(1, -(-df.count() // rows))) for name, df in tables.items()}
+
+
+def entry_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """(name, n) of every table, and of the distinct names where functions, classes and templates are listed."""
+    out = None
+    for name, df in sorted(tables.items()):
+        row = df.agg(F.lit(name).alias("name"), F.count("*").alias("n"))
+        out = row if out is None else out.unionByName(row)
     return out
 
 
@@ -131,6 +197,12 @@ def replayable(journal: DataFrame, stamps: DataFrame, poison_after: int = 2) ->
     return both.select("tu_path", action.alias("action"))
 
 
+def whole_set_valid(then: DataFrame, now: DataFrame) -> bool:
+    """Whether a result over a set of files (path, mtime_ns, size) still holds: the sets' digests are equal."""
+    a, b = (s.agg(set_fingerprint().alias("x")).first().x for s in (then, now))
+    return a == b
+
+
 def build_stats(stats: DataFrame) -> DataFrame:
     """(phase, n, failed, total_ms, max_ms) over build statistics."""
     return stats.groupBy("phase").agg(
@@ -143,6 +215,14 @@ def slowest(stats: DataFrame, k: int = 5) -> DataFrame:
     return stats.groupBy("file").agg(F.sum("ms").alias("ms")).orderBy(F.desc("ms"), "file").limit(k)
 
 
+def digest(stats: DataFrame) -> DataFrame:
+    """(phase, n, min_ms, median_ms, max_ms, avg_ms) over build statistics or repeated timings."""
+    ms = F.col("ms").cast("double")
+    return stats.groupBy("phase").agg(
+        F.count("*").alias("n"), F.min(ms).alias("min_ms"), F.median(ms).alias("median_ms"), F.max(ms).alias("max_ms"), F.avg(ms).alias("avg_ms")
+    )
+
+
 def compare_runs(a: DataFrame, b: DataFrame) -> DataFrame:
     """(phase, a_ms, b_ms, delta_pct) of two runs' totals."""
     total = lambda d, n: d.groupBy("phase").agg(F.sum("ms").alias(n))

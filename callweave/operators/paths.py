@@ -20,7 +20,7 @@ MOST_PARTIAL = 20_000_000
 
 
 def corridor(starts: DataFrame, target: str, edges: DataFrame, max_depth: int, cut_off: DataFrame | None = None) -> DataFrame:
-    """Edges on a walk of at most ``max_depth`` edges from a start (node) to the target.
+    """Edges on a walk of at most ``max_depth`` edges from a start (node) to the target, with the caller's ``from_start``.
 
     ``cut_off`` (node): functions whose callers are not followed, but for the target.
     """
@@ -35,7 +35,7 @@ def corridor(starts: DataFrame, target: str, edges: DataFrame, max_depth: int, c
     kept = cut(edges.join(near, "callee"))
     ahead = min_dist(starts, kept.select(F.col("caller").alias("src"), F.col("callee").alias("dst")), max_depth)
     far = ahead.select(F.col("node").alias("caller"), F.col("dist").alias("from_start"))
-    return kept.join(far, "caller").where(F.col("from_start") + 1 + F.col("to_target") <= max_depth).drop("from_start", "to_target")
+    return kept.join(far, "caller").where(F.col("from_start") + 1 + F.col("to_target") <= max_depth).drop("to_target")
 
 
 def find_paths(
@@ -54,13 +54,14 @@ def find_paths(
     start gives one path without hops.  ``hops`` are structs of the edges' columns, in
     order from the start.  ``edge_simple``: nodes may repeat, edges may not.  Functions
     with more than ``max_fan_in`` callers in ``stored`` are not entered from behind (0:
-    no limit).  Raises if a level exceeds ``MOST_PARTIAL``.
+    no limit).  A partial path that can no longer reach a start in time is dropped.  A
+    level with over ``MOST_PARTIAL`` partial paths is a ``ValueError``.
     """
     blocked = hubs(stored if stored is not None else edges, max_fan_in).select(F.col("callee").alias("node")) if max_fan_in else None
     starts = cut(starts.select("node").distinct())
     inside = cut(corridor(starts, target, edges, max_depth, blocked))
     hop = F.struct(*edges.columns)
-    step = inside.select(F.col("callee").alias("_to"), F.col("caller").alias("_from"), hop.alias("_hop"))
+    step = inside.select(F.col("callee").alias("_to"), F.col("caller").alias("_from"), hop.alias("_hop"), F.col("from_start").alias("_left"))
     head = edges.sparkSession.createDataFrame([(target,)], "head string")
     partial = head.select("head", F.array("head").alias("nodes"), F.array().cast(f"array<{inside.select(hop.alias('h')).dtypes[0][1]}>").alias("hops"))
     is_start = starts.select(F.col("node").alias("head"))
@@ -68,14 +69,14 @@ def find_paths(
     partial = cut(partial.join(is_start, "head", "left_anti"))
     while length < max_depth and not partial.isEmpty() and done.count() < max_paths:
         length += 1
-        grown = partial.join(step, F.col("head") == F.col("_to"))
+        grown = partial.join(step, (F.col("head") == F.col("_to")) & (F.col("_left") <= max_depth - length))
         grown = grown.where(~F.array_contains("hops", F.col("_hop")) if edge_simple else ~F.array_contains("nodes", F.col("_from")))
         grown = grown.select(
             F.col("_from").alias("head"), F.concat(F.array("_from"), "nodes").alias("nodes"), F.concat(F.array("_hop"), "hops").alias("hops")
         )
         grown = cut(grown)
         if grown.count() > MOST_PARTIAL:
-            raise RuntimeError(f"over {MOST_PARTIAL} partial paths of {length} edges; narrow the filter or the depth")
+            raise ValueError(f"over {MOST_PARTIAL} partial paths of {length} edges; narrow the filter or the depth")
         done = cut(done.unionByName(grown.join(is_start, "head", "left_semi")))
         partial = cut(grown.join(is_start, "head", "left_anti"))
     ordered = done.orderBy(F.size("hops"), "nodes", F.transform("hops", lambda h: h["call_site"])).limit(max_paths)
@@ -85,6 +86,14 @@ def find_paths(
     return ranked.select((F.col("rank") + 1).alias("rank"), "x.length", "x.nodes", "x.hops")
 
 
+def named(paths: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Adds ``names``: the display names of ``nodes``, or the usr of functions without one."""
+    flat = paths.select("rank", F.posexplode("nodes").alias("pos", "usr"))
+    flat = flat.join(nodes.select("usr", "qualified_name"), "usr", "left").select("rank", F.struct("pos", F.coalesce("qualified_name", "usr").alias("name")).alias("x"))
+    lists = flat.groupBy("rank").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["name"]).alias("names"))
+    return paths.join(lists, "rank")
+
+
 def skipped_hubs(starts: DataFrame, target: str, edges: DataFrame, stored: DataFrame, max_depth: int, max_fan_in: int) -> DataFrame:
     """(node) that lie within reach of the target and were not entered for their callers."""
     blocked = hubs(stored, max_fan_in).select(F.col("callee").alias("node")).where(F.col("node") != target)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -64,6 +65,67 @@ def parse_template(source: str) -> list[Part]:
     return parts
 
 
+# Binary operators by precedence, the loosest first; all but assignments group to the left.
+_BINARY = (
+    (",",),
+    ("=", "+=", "-=", "*=", "/=", "%=", "<<=", ">>=", "&=", "^=", "|="),
+    ("?",),
+    ("||",),
+    ("&&",),
+    ("|",),
+    ("^",),
+    ("&",),
+    ("==", "!="),
+    ("<", ">", "<=", ">="),
+    ("<=>",),
+    ("<<", ">>"),
+    ("+", "-"),
+    ("*", "/", "%"),
+)
+_LEVEL = {op: i for i, ops in enumerate(_BINARY) for op in ops}
+_TOKEN = re.compile(r'''"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'|->\*?|\.\*|\+\+|--|::|<=>|<<=|>>=|[-+*/%&|^=!<>]=|&&|\|\||<<|>>|\w+|\s+|.''', re.S)
+
+
+def _operators(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, operator) of the binary operators outside brackets and quotes."""
+    out, depth, operand = [], 0, False
+    for m in _TOKEN.finditer(text):
+        t = m[0]
+        if t.isspace():
+            continue
+        if t in "([{":
+            depth, operand = depth + 1, False
+        elif t in ")]}":
+            depth, operand = depth - 1, True
+        elif depth == 0 and operand and t in _LEVEL:
+            out.append((m.start(), m.end(), t))
+            operand = False
+        else:
+            operand = t not in _LEVEL and t not in ("!", "~", ":", "->", ".", "::", "->*", ".*")
+    return out
+
+
+def flatten(text: str, op: str) -> list[str]:
+    """Operands of a chain of one binary operator, left to right; whatever binds otherwise, or stands in brackets, is one operand."""
+    found = _operators(text)
+    parts, end = [], len(text)
+    while found:
+        loosest = min(_LEVEL[o] for _, _, o in found)
+        at = max(i for i, (_, _, o) in enumerate(found) if _LEVEL[o] == loosest)
+        start, after, last = found[at]
+        if last != op:
+            break
+        parts.append(text[after:end].strip())
+        found, end = found[:at], start
+    return [text[:end].strip(), *reversed(parts)]
+
+
+def _flatten(value: Column, op: str) -> Column:
+    import pandas as pd
+
+    return F.pandas_udf(lambda texts: pd.Series([flatten(t or "", op) for t in texts], dtype=object), "array<string>")(value)
+
+
 def compile_template(source: str, bindings: str = "bindings") -> Column:
     """The template as a column over a map of bindings.
 
@@ -83,7 +145,7 @@ def compile_template(source: str, bindings: str = "bindings") -> Column:
             if op == "name":
                 value = F.regexp_extract(value, r"([A-Za-z_]\w*)\W*$", 1)
             elif op == "flatten":
-                value, is_list = F.transform(F.split(value, re.escape(arg or "")), lambda x: F.trim(x)), True
+                value, is_list = _flatten(value, arg or ""), True
             elif op == "join":
                 if not is_list:
                     raise ValueError(f"join needs a list in: {source}")
@@ -168,6 +230,32 @@ def macro_filter(found: DataFrame, rule: Rule) -> DataFrame:
     return found.where(keep & F.col("is_whole_arg") if rule.arg_only else keep)
 
 
+def from_matches(found: DataFrame, rule: Rule, ordinal: int = 0) -> DataFrame:
+    """(rule, file, offset, length, text) for a match table that a syntax-aware producer supplies: (file, offset, length, bindings, macro columns)."""
+    kept = macro_filter(found, rule)
+    return kept.select(F.lit(ordinal).alias("rule"), "file", "offset", "length", compile_template(rule.template).alias("text"))
+
+
+def callback(texts: DataFrame, produce: Callable[[str, str], list[tuple[int, int, str]]], ordinal: int = 0) -> DataFrame:
+    """(rule, file, offset, length, text) that ``produce`` asks for on each whole (file, text)."""
+    import pyarrow as pa
+
+    names = ["rule", "file", "offset", "length", "text"]
+    kinds = [pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string()]
+
+    def run(batches):
+        for batch in batches:
+            rows = [
+                (ordinal, file, *made)
+                for file, text in zip(batch.column("file").to_pylist(), batch.column("text").to_pylist(), strict=True)
+                for made in produce(file, text)
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
+
+    schema = "rule int, file string, offset int, length int, text string"
+    return texts.select("file", "text").where("text is not null").mapInArrow(run, schema)
+
+
 def replacements(texts: DataFrame, passes: list[Pass]) -> DataFrame:
     """(rule, file, offset, length, text) that the passes ask for on the original texts; equal ones once."""
     found, n = None, 0

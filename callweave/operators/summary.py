@@ -38,11 +38,15 @@ def totals(nodes: DataFrame, expanded: DataFrame, call_sites: DataFrame) -> Data
 
 
 def callback_sites(expanded: DataFrame, nodes: DataFrame, prefix: str = "") -> DataFrame:
-    """(target, site_count) of functions that are called back."""
+    """(target, site_count, sites) of functions that are called back; ``sites`` are (call_site, caller, kind), in order.
+
+    A target's sites are shown whole: the list is as long as its callers' calls.
+    """
     rows = EdgeFilter(("FunctionPointer", "LambdaCall")).apply(expanded)
-    rows = rows.groupBy("callee").agg(F.count("*").alias("n")).join(nodes.select(F.col("usr").alias("callee"), "qualified_name"), "callee", "left")
-    rows = rows.select(F.coalesce("qualified_name", "callee").alias("target"), "n").groupBy("target").agg(F.sum("n").alias("site_count"))
-    return rows.where(F.col("target").startswith(prefix)) if prefix else rows
+    rows = rows.join(nodes.select(F.col("usr").alias("callee"), "qualified_name"), "callee", "left")
+    rows = rows.select(F.coalesce("qualified_name", "callee").alias("target"), F.struct("call_site", "caller", "kind").alias("site"))
+    rows = rows.where(F.col("target").startswith(prefix)) if prefix else rows
+    return rows.groupBy("target").agg(F.count("*").alias("site_count"), F.array_sort(F.collect_list("site")).alias("sites"))
 
 
 def concurrency_entry_points(expanded: DataFrame, contexts: tuple[str, ...] = ()) -> DataFrame:

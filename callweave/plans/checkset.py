@@ -7,7 +7,8 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # The checks, whether they are on by default, and their groups.
 CHECKS: dict[str, tuple[bool, tuple[str, ...]]] = {
@@ -38,6 +39,8 @@ class Registry:
     hazards: list[str] = field(default_factory=list)
     disabled: list[str] = field(default_factory=list)
     index_checks: dict[str, Callable[[dict[str, DataFrame]], DataFrame]] = field(default_factory=dict)
+    unit_checks: dict[str, Callable[[DataFrame, dict[str, DataFrame]], DataFrame]] = field(default_factory=dict)
+    guard_classifiers: list[Callable[[Column], Column]] = field(default_factory=list)
     groups: dict[str, list[str]] = field(default_factory=dict)
 
     def add(self, name: str, *values) -> None:
@@ -49,12 +52,45 @@ class Registry:
         return {k: v for k, v in self.index_checks.items() if k not in self.disabled}
 
     def run(self, tables: dict[str, DataFrame]) -> DataFrame | None:
-        """Diagnostics of the organisation's own checks."""
+        """Diagnostics of the organisation's own checks over the whole index."""
         out = None
         for check in self.enabled().values():
             out = check(tables) if out is None else out.unionByName(check(tables))
         return out
 
+    def run_units(self, unit_facts: DataFrame, tables: dict[str, DataFrame]) -> DataFrame | None:
+        """Diagnostics of its checks over facts of units: each gets rows that name their unit, and the index."""
+        out = None
+        for name, check in self.unit_checks.items():
+            if name not in self.disabled:
+                found = check(unit_facts, tables)
+                out = found if out is None else out.unionByName(found)
+        return out
+
+    def classify_guards(self, guards: DataFrame, column: str = "condition_text") -> DataFrame:
+        """Adds ``guard_kind``, a struct (kind, name): of the first classifier that knows the condition, or null."""
+        none = F.lit(None).cast("struct<kind:string,name:string>")
+        return guards.withColumn("guard_kind", F.coalesce(*[c(F.col(column)) for c in self.guard_classifiers], none))
+
+
+def run_workers(units: DataFrame, worker: Callable[[list[str]], list[dict]], schema: str, batch: int = 64) -> DataFrame:
+    """Facts that ``worker`` gives for batches of units (tu_path), where they are: the seam for a parser.
+
+    A worker gets paths and gives rows of ``schema``; a task that is lost is run again.
+    """
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    arrow = to_arrow_schema(units.sparkSession.createDataFrame([], schema).schema)
+
+    def run(batches):
+        for part in batches:
+            paths = part.column(0).to_pylist()
+            for at in range(0, len(paths), batch):
+                yield pa.RecordBatch.from_pylist(worker(paths[at : at + batch]), schema=arrow)
+
+    return units.select("tu_path").mapInArrow(run, schema)
+
 
 def resolve_checks(spec: str | list[str] = "", registry: Registry | None = None) -> set[str]:
     """Checks that an ordered list of entries leaves on, from the defaults.

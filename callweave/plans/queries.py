@@ -14,7 +14,28 @@ from callweave.sources.testdata import call_sites, fact, oracle
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-Facts = Callable[[str], DataFrame]
+#: Tables that were derived once for a session and folder of inputs.
+_SAVED: dict[tuple[str, str, str], DataFrame] = {}
+
+
+class Facts:
+    """A reader of the facts over one folder; what many queries derive is written once a session."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __call__(self, name: str) -> DataFrame:
+        if name == "call_sites":
+            return call_sites(self.spark, self.sf_dir)
+        if name == "edges":
+            return self.saved(name, lambda: fact(self.spark, self.sf_dir, name))
+        return fact(self.spark, self.sf_dir, name)
+
+    def saved(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _SAVED:
+            _SAVED[key] = fixpoint.cut(make())
+        return _SAVED[key]
 
 
 def query(*facts: str, sql: str = "") -> Callable:
@@ -22,15 +43,13 @@ def query(*facts: str, sql: str = "") -> Callable:
 
     def add(f: Callable[[Facts], DataFrame]) -> Callable[[Facts], DataFrame]:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            def read(name: str) -> DataFrame:
-                return call_sites(spark, sf_dir) if name == "call_sites" else fact(spark, sf_dir, name)
-
-            return f(read)
+            return f(Facts(spark, sf_dir))
 
         QUERIES[f.__name__] = run
         run.__doc__ = f.__doc__
         if sql:
-            ORACLES[f.__name__] = f"{oracle(*facts)}{sql}" if sql.lstrip().startswith(",") else f"{oracle(*facts)}\n{sql}"
+            head = oracle(*facts) if facts else ""
+            ORACLES[f.__name__] = f"{head}{sql}" if sql.lstrip().startswith(",") else f"{head}\n{sql}"
         return f
 
     return add
@@ -56,7 +75,7 @@ _EDGE = "caller, callee, call_site, kind, confidence, exec_context, indirection_
 
 
 def _estar(read: Facts) -> DataFrame:
-    return edges.expanded(read("edges"), read("method_overrides"), read("function_returns"))
+    return read.saved("estar", lambda: edges.expanded(read("edges"), read("method_overrides"), read("function_returns")))
 
 
 # Edges and lookups
@@ -106,7 +125,7 @@ def stored_in_degree(read: Facts) -> DataFrame:
     "nodes",
     "edges",
     sql="""select e.caller, e.callee, count(*) as n from edges e left join nodes a on a.usr = e.caller left join nodes b on b.usr = e.callee
-where not (coalesce(contains('/' || a.file || '/', '/src/'), false) and coalesce(contains('/' || b.file || '/', '/src/'), false)) group by all""",
+where not (coalesce(contains(a.file, '/src/'), false) and coalesce(contains(b.file, '/src/'), false)) group by all""",
 )
 def collapse_filter(read: Facts) -> DataFrame:
     return edges.collapsed(read("edges"), read("nodes"), ["src"]).groupBy("caller", "callee").agg(F.count("*").alias("n"))
@@ -133,25 +152,6 @@ def search_functions(read: Facts) -> DataFrame:
     return identity.search(read("nodes"), "Order#1")
 
 
-@query(
-    "nodes",
-    sql="""select usr, qualified_name, file, n from (select usr, qualified_name, file, count(*) over (partition by qualified_name) as n,
- row_number() over (partition by qualified_name order by usr) as r from nodes) where n > 1 and r <= 25""",
-)
-def ambiguous_candidates(read: Facts) -> DataFrame:
-    """Of every ambiguous name the candidates that would be listed, and their number."""
-    from pyspark.sql import Window
-
-    by = Window.partitionBy("qualified_name")
-    rows = read("nodes").withColumns({"n": F.count("*").over(by), "_r": F.row_number().over(by.orderBy("usr"))})
-    return rows.where(f"n > 1 and _r <= {identity.LISTED}").select("usr", "qualified_name", "file", "n")
-
-
-@query("nodes", sql="select usr, qualified_name, file, line from nodes where is_entry_point")
-def list_entry_points(read: Facts) -> DataFrame:
-    return read("nodes").where("is_entry_point").select("usr", "qualified_name", "file", "line")
-
-
 # Contexts
 
 _SITE = "call_site, caller_usr, callee_usr"
@@ -222,11 +222,6 @@ def class_overrides(read: Facts) -> DataFrame:
     return summary.virtual_overrides(read("nodes"), read("method_overrides"), name)
 
 
-@query("effective_impls", sql="select concrete_class, count(*) as impls from effective_impls group by all")
-def classes_for_impl(read: Facts) -> DataFrame:
-    return read("effective_impls").groupBy("concrete_class").agg(F.count("*").alias("impls"))
-
-
 @query(
     "edges",
     sql=""",
@@ -264,42 +259,6 @@ def find_call_chain(read: Facts) -> DataFrame:
     return found.select("length", F.array_join("nodes", " > ").alias("path"), sites.alias("sites"))
 
 
-@query(*_GRAPH, "call_sites_flat")
-def exception_protection(read: Facts) -> DataFrame:
-    """Verdict over capped paths; held against a walk by hand in the tests."""
-    return exceptions.verdict(exceptions.protection(_chains(read, 100), read("call_sites"), "std::runtime_error"))
-
-
-@query(*_GRAPH, "call_sites_flat")
-def all_path_contexts(read: Facts) -> DataFrame:
-    """Concatenated contexts of capped paths; held against a walk by hand in the tests."""
-    found = exceptions.path_contexts(_chains(read, 100), read("call_sites"))
-    return found.select("rank", "length", F.size("scopes").alias("scopes"), F.size("guards").alias("guards"), "has_noexcept_barrier")
-
-
-@query(*_GRAPH, "call_sites_flat")
-def nearest_catches(read: Facts) -> DataFrame:
-    """Breadth-first walk with early stops; held against a walk by hand in the tests."""
-    view = edges.EdgeFilter(min_confidence="Proven").apply(_estar(read))
-    return exceptions.nearest_catches("p:45", view, read("call_sites"), 4)
-
-
-@query(*_GRAPH, "call_sites_flat")
-def locks_held(read: Facts) -> DataFrame:
-    """Locks over capped paths; held against a walk by hand in the tests."""
-    found = exceptions.locks_on_paths(_chains(read, 100), read("call_sites"))
-    return found.select("rank", "entry", "type_name", "var_name", "held_at")
-
-
-@query(*_GRAPH, "call_sites_flat")
-def same_lock(read: Facts) -> DataFrame:
-    """Locks shared by two functions; held against a walk by hand in the tests."""
-    view = edges.EdgeFilter(min_confidence="Proven").apply(_estar(read))
-    starts = read("nodes").where("is_entry_point").select(F.col("usr").alias("node"))
-    a, b = (exceptions.locks_on_paths(paths.find_paths(starts, t, view, 4, 100), read("call_sites")) for t in ("p:45", "p:48"))
-    return exceptions.same_locks(a, b)
-
-
 _ALIVE = """,
 seen as (select usr as node from nodes where is_entry_point union select e.callee from seen s join estar e on e.caller = s.node where e.confidence = 'Proven')
 """
@@ -314,13 +273,6 @@ def dead_code_pessimistic(read: Facts) -> DataFrame:
     return best.where("_m is null").select("qualified_name", "file")
 
 
-@query(*_GRAPH, "effective_impls")
-def dead_code_optimistic(read: Facts) -> DataFrame:
-    """Two mutually recursive sets are beyond one recursive query; held against brute force in the tests."""
-    seeds = read("nodes").where("is_entry_point").select(F.col("usr").alias("node"))
-    return liveness.counts(liveness.liveness(read("nodes"), _estar(read), seeds, read("effective_impls")))
-
-
 # Summaries
 
 
@@ -356,11 +308,6 @@ def graph_summary(read: Facts) -> DataFrame:
     return summary.totals(read("nodes"), _estar(read), read("call_sites"))
 
 
-@query(*_GRAPH, sql=f"{_ESTAR} select coalesce(qualified_name, callee) as target, cast(count(*) as bigint) as site_count from estar left join nodes on usr = callee where kind in ('FunctionPointer', 'LambdaCall') group by 1")
-def callback_sites(read: Facts) -> DataFrame:
-    return summary.callback_sites(_estar(read), read("nodes"))
-
-
 # Channels
 
 _CH = "select channel_id, channel_type, category, op, function_usr, function_display, call_site, count(*) as refs from channel_site_tus group by all"
@@ -381,23 +328,6 @@ def channel_sites(read: Facts) -> DataFrame:
     return channels.for_function(channels.counted(read("channel_site_tus")), "o:5")
 
 
-@query(
-    "edges",
-    sql=f""",
-up as (select 's:7' as node union select e.caller from up u join edges e on e.callee = u.node where e.exec_context = 'Synchronous')
-select distinct {_EDGE} from edges e where exec_context <> 'Synchronous' and callee in (select node from up)""",
-)
-def concurrency_boundaries(read: Facts) -> DataFrame:
-    return channels.boundaries(read("edges").drop("refs"), "s:7", most=1 << 60)
-
-
-@query("channel_site_tus", "edges")
-def explain_ordering(read: Facts) -> DataFrame:
-    """Two sites side by side; held against a fixture in the tests."""
-    both, _, _ = channels.explain_ordering(channels.counted(read("channel_site_tus")), read("edges").drop("refs"), "ev.cpp:1:1", "ev.cpp:21:1")
-    return both
-
-
 # Checks
 
 _ODR = """,

@@ -2,37 +2,79 @@
 
 from __future__ import annotations
 
+import json
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from callweave.operators.fixpoint import remove
+from callweave.operators.merge import absorb, build_stats, entry_counts
 from callweave.plans.schema import TABLES, conform, struct
 
 FORMAT_VERSION = 1
 
 
 def save_snapshot(tables: dict[str, DataFrame], folder: str, config: str = "") -> None:
-    """Write tables as Parquet under ``folder``; the ``meta`` table comes last and makes the snapshot valid."""
+    """Write tables as Parquet into a new version under ``folder``, then switch to it.
+
+    The switch is one row more in ``meta``, a commit of its own: until it is there the
+    version before stays what ``load_snapshot`` reads.  Older versions go afterwards.
+    """
     spark = next(iter(tables.values())).sparkSession
+    last = _latest(spark, folder)
+    n = last.seq + 1 if last else 1
+    version = f"version-{n}-{uuid.uuid4().hex[:8]}"
     for name, df in tables.items():
-        conform(df, name).write.mode("overwrite").parquet(f"{folder}/{name}")
-    names = ",".join(sorted(tables))
-    meta = spark.createDataFrame([(FORMAT_VERSION, config, names)], "format_version int, config string, tables string")
-    meta.coalesce(1).write.mode("overwrite").parquet(f"{folder}/meta")
+        conform(df, name).write.parquet(f"{folder}/{version}/{name}")
+    meta = spark.createDataFrame([(n, FORMAT_VERSION, config, ",".join(sorted(tables)), version)], _META)
+    meta.coalesce(1).write.mode("append").parquet(f"{folder}/meta")
+    if last:
+        remove(spark, f"{folder}/{last.version}")
 
 
-def load_snapshot(spark: SparkSession, folder: str, config: str = "") -> dict[str, DataFrame] | None:
-    """The tables of a snapshot, or None if it is absent, of another version or made with another config."""
+_META = "seq int, format_version int, config string, tables string, version string"
+
+
+def _latest(spark: SparkSession, folder: str):
     from pyspark.errors import AnalysisException
 
     try:
-        meta = spark.read.parquet(f"{folder}/meta").first()
+        return spark.read.schema(_META).parquet(f"{folder}/meta").orderBy(F.desc("seq")).first()
     except AnalysisException:
         return None
+
+
+def load_snapshot(spark: SparkSession, folder: str, config: str = "") -> dict[str, DataFrame] | None:
+    """The tables of the latest snapshot, or None if it is absent, of another format or made with another config."""
+    meta = _latest(spark, folder)
     if meta is None or meta.format_version != FORMAT_VERSION or meta.config != config:
         return None
-    return {name: spark.read.schema(struct(name)).parquet(f"{folder}/{name}") for name in meta.tables.split(",")}
+    return {name: spark.read.schema(struct(name)).parquet(f"{folder}/{meta.version}/{name}") for name in meta.tables.split(",")}
+
+
+def write_shard(tables: dict[str, DataFrame], folder: str) -> None:
+    """One worker's tables, all or nothing: the marker comes last."""
+    for name, df in tables.items():
+        conform(df, name).write.parquet(f"{folder}/{name}")
+    spark = next(iter(tables.values())).sparkSession
+    spark.createDataFrame([(",".join(sorted(tables)),)], "tables string").coalesce(1).write.parquet(f"{folder}/_complete.parquet")
+
+
+def read_shards(spark: SparkSession, folders: list[str]) -> dict[str, DataFrame]:
+    """The tables of every complete shard, merged; a shard without its marker counts as absent."""
+    from pyspark.errors import AnalysisException
+
+    found: dict[str, list[DataFrame]] = {}
+    for folder in folders:
+        try:
+            names = spark.read.parquet(f"{folder}/_complete.parquet").first().tables.split(",")
+        except AnalysisException:
+            continue
+        for name in names:
+            found.setdefault(name, []).append(spark.read.schema(struct(name)).parquet(f"{folder}/{name}"))
+    return {name: absorb(name, shards) for name, shards in found.items()}
 
 
 def read_facts(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
@@ -98,6 +140,30 @@ def files_with(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     return rows.where(F.col("text").rlike(pattern))
 
 
-def append_journal(records: DataFrame, folder: str) -> None:
-    """Add records (seq, tu_path, stamp, state) to a journal; each write is atomic."""
-    records.write.mode("append").parquet(folder)
+JOURNAL = "seq long, tu_path string, stamp string, state string"
+
+
+def append_journal(records: DataFrame, folder: str, header: str = "") -> None:
+    """Add records (seq, tu_path, stamp, state) to a journal of one configuration; each write is atomic."""
+    records.withColumn("header", F.lit(header)).write.mode("append").partitionBy("header").parquet(folder)
+
+
+def read_journal(spark: SparkSession, folder: str, header: str = "") -> DataFrame:
+    """The latest record of each unit of a journal; of one with another header, or none, nothing."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        rows = spark.read.schema(f"{JOURNAL}, header string").parquet(folder)
+    except AnalysisException:
+        return spark.createDataFrame([], JOURNAL)
+    rows = rows.where(F.coalesce("header", F.lit("")) == header).drop("header")
+    last = rows.groupBy("tu_path").agg(F.max_by(F.struct("seq", "stamp", "state"), "seq").alias("x"))
+    return last.select("x.seq", "tu_path", "x.stamp", "x.state")
+
+
+def stats_json(stats: DataFrame, tables: dict[str, DataFrame], mode: str = "cold") -> str:
+    """One JSON document on a run: its mode, wall time and failures by phase, sizes of the tables, and every unit."""
+    phases = {r.phase: {"files": r.n, "failed": r.failed, "ms": r.total_ms} for r in build_stats(stats).collect()}
+    sizes = {r["name"]: r.n for r in entry_counts(tables).collect()}
+    files = [r.asDict() for r in stats.select("file", "phase", "ms", F.col("tool_status").alias("status")).orderBy("file", "phase").toLocalIterator()]
+    return json.dumps({"mode": mode, "phases": phases, "tables": sizes, "files": files}, sort_keys=True)

@@ -22,10 +22,10 @@ FACTS: dict[str, str] = {
     "nodes": """
 select 'r:' || cast(r_regionkey as string) as usr, r_name as qualified_name, '/usr/include/region.h' as file, cast(r_regionkey as int) as line,
   true as is_entry_point, false as is_virtual, '' as enclosing_class from region
-union all select 'n:' || cast(n_nationkey as string), n_name, 'src/nation.cpp', cast(n_nationkey as int), false, false, '' from nation
-union all select 'c:' || cast(c_custkey as string), c_name, 'src/' || c_mktsegment || '/customer.cpp', cast(c_custkey % 1000 as int), false, false, '' from customer
-union all select 'o:' || cast(o_orderkey as string), 'Order#' || cast(o_orderkey as string), 'src/orders.cpp', cast(o_orderkey % 1000 as int), false, false, '' from orders
-union all select 'p:' || cast(p_partkey as string), p_name, 'lib/' || p_brand || '.cpp', cast(p_partkey % 1000 as int), false, p_size % 2 = 0, p_type from part
+union all select 'n:' || cast(n_nationkey as string), n_name, '/w/src/nation.cpp', cast(n_nationkey as int), false, false, '' from nation
+union all select 'c:' || cast(c_custkey as string), c_name, '/w/src/' || c_mktsegment || '/customer.cpp', cast(c_custkey % 1000 as int), false, false, '' from customer
+union all select 'o:' || cast(o_orderkey as string), 'Order#' || cast(o_orderkey as string), '/w/src/orders.cpp', cast(o_orderkey % 1000 as int), false, false, '' from orders
+union all select 'p:' || cast(p_partkey as string), p_name, '/w/lib/' || p_brand || '.cpp', cast(p_partkey % 1000 as int), false, p_size % 2 = 0, p_type from part
 union all select 's:' || cast(s_suppkey as string), s_name, 'src/supplier.cpp', cast(s_suppkey % 1000 as int), false, false, '' from supplier""",
     "edge_tus": f"""
 select 'r:' || cast(n_regionkey as string) as caller, 'n:' || cast(n_nationkey as string) as callee, 'region.cpp:' || cast(n_nationkey as string) || ':1' as call_site,
@@ -38,7 +38,7 @@ union all select 'c:' || cast(o_custkey as string), 'o:' || cast(o_orderkey as s
   case substr(o_orderpriority, 1, 1) when '1' then 'Synchronous' when '2' then 'ThreadSpawn' when '3' then 'AsyncTask' when '4' then 'PackagedTask' else 'Invoke' end,
   1, 'tu' || cast(o_orderkey % 16 as string) from orders
 union all select o, p, 'order.cpp:' || cast(l_orderkey as string) || ':' || cast(l_linenumber as string),
-  case l_linestatus when 'F' then 'DirectCall' else 'VirtualDispatch' end, conf, 'Synchronous', 0, tu from ({_LI}) li
+  case when l_linestatus <> 'F' then 'VirtualDispatch' when l_linenumber = 3 then 'ConstructorCall' else 'DirectCall' end, conf, 'Synchronous', 0, tu from ({_LI}) li
 union all select p, s, 'part.cpp:' || cast(l_partkey as string) || ':' || cast(l_suppkey as string),
   case when qty = 1 then 'FunctionPointerReturn' when qty < 5 then 'LambdaCall' else 'DirectCall' end, conf,
   case when qty = 1 and l_linenumber % 2 = 0 then 'ThreadSpawn' else 'Synchronous' end, 0, tu from ({_LI}) li
@@ -108,6 +108,10 @@ from ({_LI}) li join part on p_partkey = l_partkey""",
     "stamps_old": "select 'f' || cast(o_orderkey as string) as path, cast(o_custkey as bigint) as mtime_ns, cast(o_orderkey % 100 as bigint) as size from orders where o_orderkey % 5 <> 0",
     "stamps_new": "select 'f' || cast(o_orderkey as string) as path, cast(case when o_orderkey % 7 = 0 then o_custkey + 1 else o_custkey end as bigint) as mtime_ns, cast(o_orderkey % 100 as bigint) as size from orders where o_orderkey % 6 <> 0",
     "journal": "select cast(event_id as bigint) as seq, 'tu' || cast(user_id as string) as tu_path, cast(user_id % 3 as bigint) as stamp, event_type as state from events where event_type in ('click', 'view', 'purchase')",
+    "node_tus": """
+select distinct 'o:' || cast(o_orderkey as string) as usr, 'tu' || cast(o_orderkey % 16 as string) as tu_path from orders
+union select distinct p, tu from (select 'p:' || cast(l_partkey as string) as p, 'tu' || cast(l_orderkey % 16 as string) as tu from lineitem) li""",
+    "rewrites": "select 'd' || cast(p_partkey as string) as file, cast(p_partkey as int) as place, p_name as a, p_brand as b, p_size % 3 = 0 as is_macro_arg, case p_size % 2 when 0 then 'CHECK' else 'LOG' end as macro_name, p_size % 5 = 0 as is_whole_arg from part",
     "texts": "select 'd' || cast(doc_id as string) as file, coalesce(text, '') as text from documents",
     "build_stats": "select 'tu' || cast(event_id % 200 as string) as file, event_type as phase, cast(event_id % 1000 as bigint) as ms, cast(case user_id % 9 when 0 then 1 when 1 then 2 when 2 then -1 else 0 end as int) as tool_status from events",
 }

@@ -9,13 +9,28 @@ from pyspark.sql.streaming import StreamingQuery
 from callweave.operators.edges import COLUMNS, stored
 
 
+def _held(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.schema(schema).parquet(folder)
+    except AnalysisException:
+        return spark.createDataFrame([], schema)
+
+
 def apply_batch(batch: DataFrame, folder: str) -> None:
-    """Replace the registrations of every unit in ``batch`` (edge columns, tu_path): one partition a unit is overwritten.
+    """Replace the registrations of every unit in ``batch`` (edge columns, tu_path, version): one partition a unit is overwritten.
 
-    A unit may come several times in a batch; its rows of the latest ``version`` count.
+    The latest version of a unit counts, within a batch and over all batches; one that
+    is older than what the folder holds changes nothing, the same one again neither.  A
+    row without a caller says that its unit has no edges at that version.
     """
+    spark = batch.sparkSession
+    schema = ", ".join(f"{c} {dict(batch.dtypes)[c]}" for c in (*COLUMNS, "version", "tu_path"))
     last = batch.groupBy("tu_path").agg(F.max("version").alias("version"))
-    rows = batch.join(last, ["tu_path", "version"], "left_semi").select(*COLUMNS, "tu_path")
+    known = _held(spark, folder, schema).join(last.select("tu_path"), "tu_path", "left_semi").groupBy("tu_path").agg(F.max("version").alias("_known"))
+    last = last.join(known, "tu_path", "left").where("_known is null or version > _known").select("tu_path", "version")
+    rows = batch.join(last, ["tu_path", "version"], "left_semi").select(*COLUMNS, "version", "tu_path")
     rows.repartition("tu_path").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("tu_path").parquet(folder)
 
 
@@ -28,9 +43,4 @@ def maintain(spark: SparkSession, source: str, folder: str, checkpoint: str, sch
 
 def current_edges(spark: SparkSession, folder: str) -> DataFrame:
     """Edges with their reference counts from the maintained registrations."""
-    return stored(spark.read.parquet(folder))
-
-
-def attempt_counts(journal: DataFrame, done: str = "done") -> DataFrame:
-    """Streaming or batch: (tu_path, stamp, attempts) per unit and stamp, completions apart."""
-    return journal.groupBy("tu_path", "stamp").agg(F.count_if(F.col("state") != done).alias("attempts"), F.count_if(F.col("state") == done).alias("completed"))
+    return stored(spark.read.parquet(folder).where("caller is not null"))
