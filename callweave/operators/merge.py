@@ -87,7 +87,7 @@ def units(spark: SparkSession, tus: list[str]) -> DataFrame:
 def remove_call_sites(call_sites: DataFrame, tus: DataFrame) -> DataFrame:
     """Contexts but those of the units (tu_path); those that name no unit go by the file of their site."""
     owner = F.when(F.col("tu_path") == "", F.regexp_extract("call_site", "^(.+):[0-9]+:[0-9]+$", 1)).otherwise(F.col("tu_path"))
-    return call_sites.withColumn("_owner", owner).join(tus.select(F.col("tu_path").alias("_owner")), "_owner", "left_anti")
+    return call_sites.withColumn("_owner", owner).join(tus.select(F.col("tu_path").alias("_owner")), "_owner", "left_anti").select(*call_sites.columns)
 
 
 #: Tables whose rows count registrations of units, and the table of those.

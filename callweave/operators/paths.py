@@ -64,21 +64,27 @@ def find_paths(
     step = inside.select(F.col("callee").alias("_to"), F.col("caller").alias("_from"), hop.alias("_hop"), F.col("from_start").alias("_left"))
     head = edges.sparkSession.createDataFrame([(target,)], "head string")
     partial = head.select("head", F.array("head").alias("nodes"), F.array().cast(f"array<{inside.select(hop.alias('h')).dtypes[0][1]}>").alias("hops"))
-    is_start = starts.select(F.col("node").alias("head"))
-    done, length = cut(partial.join(is_start, "head", "left_semi")), 0
-    partial = cut(partial.join(is_start, "head", "left_anti"))
-    while length < max_depth and not partial.isEmpty() and done.count() < max_paths:
+    is_start = starts.select(F.col("node").alias("head"), F.lit(True).alias("_start"))
+
+    def level(rows: DataFrame) -> tuple[DataFrame, DataFrame, int, int]:
+        """Paths that begin at a start, the others, and their numbers: one table and one count a level."""
+        rows = cut(rows.join(is_start, "head", "left"))
+        n = rows.agg(F.count("*").alias("n"), F.count("_start").alias("done")).first()
+        return rows.where("_start").drop("_start"), rows.where("_start is null").drop("_start"), n.done, n.n - n.done
+
+    done, partial, found, left = level(partial)
+    length = 0
+    while length < max_depth and left and found < max_paths:
         length += 1
         grown = partial.join(step, (F.col("head") == F.col("_to")) & (F.col("_left") <= max_depth - length))
         grown = grown.where(~F.array_contains("hops", F.col("_hop")) if edge_simple else ~F.array_contains("nodes", F.col("_from")))
         grown = grown.select(
             F.col("_from").alias("head"), F.concat(F.array("_from"), "nodes").alias("nodes"), F.concat(F.array("_hop"), "hops").alias("hops")
         )
-        grown = cut(grown)
-        if grown.count() > MOST_PARTIAL:
+        ended, partial, more, left = level(grown)
+        if left > MOST_PARTIAL:
             raise ValueError(f"over {MOST_PARTIAL} partial paths of {length} edges; narrow the filter or the depth")
-        done = cut(done.unionByName(grown.join(is_start, "head", "left_semi")))
-        partial = cut(grown.join(is_start, "head", "left_anti"))
+        done, found = done.unionByName(ended), found + more
     ordered = done.orderBy(F.size("hops"), "nodes", F.transform("hops", lambda h: h["call_site"])).limit(max_paths)
     # At most max_paths rows are ranked.
     ranked = ordered.agg(F.array_sort(F.collect_list(F.struct(F.size("hops").alias("length"), "nodes", "hops"))).alias("p"))

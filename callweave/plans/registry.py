@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from callweave.plans import context_queries  # noqa: F401
+from callweave.plans import context_queries, table_queries  # noqa: F401
 from callweave.plans import queries as graph
 
 FLAGSHIP = "get_callees"

@@ -136,7 +136,7 @@ def stamp_files(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 def files_with(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     """(file, text) of whole files that a regular expression matches somewhere."""
-    rows = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
+    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
     return rows.where(F.col("text").rlike(pattern))
 
 
