@@ -398,6 +398,11 @@ def exact_links(sets: DataFrame, similarity: float) -> DataFrame:
     return arrow_map(lists.select("members"), work, "a long, b long", step=1)
 
 
+def _row_key(doc_id: Column, text_hash: Column) -> list[Column]:
+    """Columns d, z and h without nulls that tell (doc_id, text) apart, so that a join and a grouping by them share one shuffle."""
+    return [F.coalesce(doc_id, F.lit(0)).alias("d"), doc_id.isNull().alias("z"), text_hash.alias("h")]
+
+
 def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, hash, group_doc_id, group_hash) for every distinct (doc_id, text) of ``docs``.
 
@@ -409,6 +414,7 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     if similarity < 0.8:
         raise ValueError("the Hamming checks are made for a similarity of 0.8 or more")
     texts = docs.select("doc_id", F.xxhash64("text").alias("hash"), "text")
+    keyed_texts = docs.select(*_row_key(F.col("doc_id"), F.xxhash64("text")), "text").dropDuplicates(["d", "z", "h"])
     found = _sets(texts, words, lambda s: _profile(s, similarity), "n int, d0 long, d1 long, f0 long, f1 long, keys array<long>")
     found = cut(found)
     same = ["n", "d0", "d1"]
@@ -417,9 +423,8 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
 
     def texts_of(wanted: DataFrame) -> DataFrame:
         """The text of each class of ``wanted`` (id), beside its id."""
-        wanted = classes.join(wanted, "id", "left_semi").select("id", F.col("first.doc_id").alias("d"), F.col("first.hash").alias("h"))
-        rows = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("hash") == F.col("h")))
-        return rows.select("id", "text").dropDuplicates(["id"])
+        wanted = classes.join(wanted, "id", "left_semi").select("id", *_row_key(F.col("first.doc_id"), F.col("first.hash")))
+        return keyed_texts.join(wanted, ["d", "z", "h"]).select("id", "text")
 
     keyed = classes.select("id", "n", "f0", "f1", "keys")
     hot, changed = _hot(classes), None
@@ -446,7 +451,6 @@ def dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame
     stand beside doc_id and text.  An empty table gives an empty result.
     """
     groups = near_groups(docs.select("doc_id", "text"), words, similarity)
-    kept = groups.select(F.col("group_doc_id").alias("d"), F.col("group_hash").alias("h")).distinct()
-    rows = docs.select(packed(docs).alias("row"), "doc_id", F.xxhash64("text").alias("hash"))
-    rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("hash") == F.col("h")))
-    return rows.dropDuplicates(["d", "h"]).select(*unpacked(docs))
+    kept = groups.select(*_row_key(F.col("group_doc_id"), F.col("group_hash"))).distinct()
+    rows = docs.select(packed(docs).alias("row"), *_row_key(F.col("doc_id"), F.xxhash64("text")))
+    return rows.dropDuplicates(["d", "z", "h"]).join(kept, ["d", "z", "h"], "left_semi").select(*unpacked(docs))
