@@ -201,7 +201,7 @@ def features(docs: DataFrame) -> DataFrame:
         out = {name: [_numbers(view(t or "", lang, source)) for t, lang, source in known] for name, view in zip(("content", "metadata"), VIEWS, strict=True)}
         return out | {"doc_id": rows["doc_id"]}
 
-    return arrow_map(docs.select("doc_id", *_COLUMNS), work, "doc_id long, content binary, metadata binary")
+    return arrow_map(docs.select("doc_id", *_COLUMNS), work, "doc_id long, content binary, metadata binary", step=128)
 
 
 def _pass(unlabelled: DataFrame, teachers: list[list[Teacher]], models: list[Logistic]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -331,9 +331,12 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
 
     def score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for columns in batches:
-            known = list(zip(*columns, strict=True))
-            x = [[np.frombuffer(_numbers(view(t or "", lang, source)), "<f4").astype(np.float64) for t, lang, source in known] for view in VIEWS]
-            yield pd.Series(model.probability(*map(np.array, x))[0] if known else [], dtype=float)
+            good: list[float] = []
+            for at in range(0, len(columns[0]), 128):
+                known = list(zip(*(c.iloc[at : at + 128] for c in columns), strict=True))
+                x = [np.stack([np.frombuffer(_numbers(view(t or "", lang, source)), "<f4").astype(np.float64) for t, lang, source in known]) for view in VIEWS]
+                good += model.probability(*x)[0].tolist()
+            yield pd.Series(good, dtype=float)
 
     good = F.pandas_udf(score, "double")
     return docs.where(good(*[F.col(c) for c in _COLUMNS]) >= threshold)

@@ -314,7 +314,7 @@ def _sets(docs: DataFrame, words: int, make: Callable[[np.ndarray], dict], schem
 
         return work
 
-    return arrow_map(docs, None, ", ".join(f"{c} {kinds[c]}" for c in kept) + ", " + schema, made)
+    return arrow_map(docs, None, ", ".join(f"{c} {kinds[c]}" for c in kept) + ", " + schema, made, step=128)
 
 
 def _profile(shingles: np.ndarray, similarity: float) -> dict:
