@@ -114,10 +114,10 @@ def _record(rows: DataFrame) -> DataFrame:
     return rows.select("call_site", "caller_usr", "callee_usr", "is_under_try_catch", "would_terminate_if_throws", "try_scope_count", "guard_count")
 
 
-@query("call_sites_flat", sql=f"select {_RECORD} from call_sites_flat where call_site = 'order.cpp:33:1'")
+@query("call_sites_flat", sql=f"select {_RECORD} from call_sites_flat where call_site = 'order.cpp:7:2'")
 def query_call_site(read: Facts) -> DataFrame:
     """The first context at a site."""
-    return _record(contexts.query_call_site(read("call_sites"), "order.cpp:33:1"))
+    return _record(contexts.query_call_site(read("call_sites"), "order.cpp:7:2"))
 
 
 @query(sql="select 'nowhere.cpp:1:1' as call_site, '' as caller_usr, '' as callee_usr, false as is_under_try_catch, false as would_terminate_if_throws, cast(0 as bigint) as try_scope_count, cast(0 as bigint) as guard_count")
@@ -126,10 +126,10 @@ def query_call_site_empty(read: Facts) -> DataFrame:
     return _record(contexts.query_call_site(read("call_sites"), "nowhere.cpp:1:1"))
 
 
-@query("call_sites_flat", sql=f"select {_RECORD} from call_sites_flat where call_site = 'order.cpp:33:1' and (caller_usr = 'Order#33' or caller_name = 'Order#33')")
+@query("call_sites_flat", sql=f"select {_RECORD} from call_sites_flat where call_site = 'order.cpp:7:2' and (caller_usr = 'Order#7' or caller_name = 'Order#7')")
 def context_of_caller(read: Facts) -> DataFrame:
     """The contexts at a site for one caller, here by name."""
-    return _record(contexts.described(contexts.at_site(read("call_sites"), "order.cpp:33:1", "Order#33")))
+    return _record(contexts.described(contexts.at_site(read("call_sites"), "order.cpp:7:2", "Order#7")))
 
 
 @query("call_sites_flat", sql="select caller_usr, callee_usr, call_site, min(seq) as seq from (select *, row_number() over (partition by caller_usr, callee_usr order by seq, tu_path) as r from call_sites_flat) where r = 1 group by all")
