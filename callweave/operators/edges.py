@@ -78,7 +78,7 @@ def synthesized(edges: DataFrame, overrides: DataFrame, function_returns: DataFr
         "caller", F.col("returned_func").alias("callee"), "call_site", kind, "confidence", "exec_context", "indirection_depth", F.lit(1).alias("_by")
     )
     key = ["caller", "callee", "call_site"]
-    real = (edges if others is None else others).where("kind <> 'FunctionPointerReturn'").select(*key).distinct()
+    real = (edges if others is None else others).where("kind <> 'FunctionPointerReturn'").select(*key)
     new = virtual.unionByName(deferred).join(real, key, "left_anti")
     best = new.groupBy(*key).agg(F.min(F.struct("_by", *COLUMNS[3:])).alias("x"))
     return best.select(*key, *[F.col(f"x.{c}") for c in COLUMNS[3:]])

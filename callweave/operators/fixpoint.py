@@ -53,7 +53,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 #: Levels that one written table covers while the frontier has so few rows.
-AT_ONCE, FEW = 4, 20_000
+AT_ONCE, FEW = 4, 2_000
 
 
 def min_dist(starts: DataFrame, edges: DataFrame, max_depth: int | None = None, key: str | None = None) -> DataFrame:

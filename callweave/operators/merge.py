@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from callweave.functions.scalars import set_fingerprint
 
 from callweave.operators.edges import COLUMNS as EDGE_KEY
-from callweave.operators.edges import stored
 
 #: Tables with set semantics and the key of an entry; the first entry wins.
 SETS = {
@@ -75,8 +74,10 @@ def absorb(table: str, shards: list[DataFrame]) -> DataFrame:
 def remove_tus(edge_tus: DataFrame, tus: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Registrations without those of the units (tu_path), and the edges that are gone with them."""
     left = edge_tus.join(tus, "tu_path", "left_anti")
-    gone = stored(edge_tus).join(left.select(*EDGE_KEY).distinct(), EDGE_KEY, "left_anti")
-    return left, gone
+    marked = edge_tus.join(tus.select("tu_path").distinct().withColumn("_gone", F.lit(True)), "tu_path", "left")
+    # One grouping: an edge is gone if all its registrations are.
+    counted = marked.groupBy(*EDGE_KEY).agg(F.count("*").alias("refs"), F.count("_gone").alias("_n"))
+    return left, counted.where("refs = _n").drop("_n")
 
 
 def units(spark: SparkSession, tus: list[str]) -> DataFrame:

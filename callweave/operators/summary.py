@@ -28,10 +28,11 @@ def top(expanded: DataFrame, nodes: DataFrame, side: str, k: int = 5) -> DataFra
 
 def totals(nodes: DataFrame, expanded: DataFrame, call_sites: DataFrame) -> DataFrame:
     """One row: node_count, edge_count, call_site_count, entry_point_count."""
-    registered = expanded.join(nodes.select(F.col("usr").alias("caller")), "caller", "left_semi")
+    per_caller = expanded.groupBy("caller").agg(F.count("*").alias("n"))
+    registered = per_caller.join(nodes.select(F.col("usr").alias("caller")), "caller", "left_semi")
     parts = [
         nodes.agg(F.count("*").alias("node_count"), F.count_if("is_entry_point").alias("entry_point_count")),
-        registered.agg(F.count("*").alias("edge_count")),
+        registered.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("edge_count")),
         call_sites.agg(F.count("*").alias("call_site_count")),
     ]
     return parts[0].crossJoin(parts[1]).crossJoin(parts[2])  # three single rows
