@@ -133,6 +133,7 @@ def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = S
     are rounded together and differ by one copy at most.  Sources without words
     get the target 0 and no copies; an empty table gives an empty result.
     """
+    docs = cut(docs.select("doc_id", "source", "size"))  # words are counted once
     units = docs.groupBy("source", "doc_id", "size").agg(F.count("*").alias("rows"))
     sizes = docs.groupBy("source").agg(F.sum("size").alias("source_size"))
     goals = targets(sizes, weights, share, most).withColumnRenamed("source", "_s")
