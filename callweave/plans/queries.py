@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callweave.functions import scalars
-from callweave.operators import channels, checks, contexts, edges, exceptions, fixpoint, identity, liveness, merge, paths, rewrite, summary
+from callweave.operators import channels, checks, contexts, edges, fixpoint, identity, liveness, merge, paths, rewrite, summary
 from callweave.sources.testdata import call_sites, fact, oracle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}

@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 
 from callweave.engine import TOOLS, Engine, serve
 from callweave.functions import scalars
-from callweave.operators import channels, checks, edges, identity, merge, rewrite
+from callweave.operators import channels, checks, contexts, edges, merge, rewrite
 from callweave.operators.fixpoint import cut, new_folder
 from callweave.plans import checkset, program
-from callweave.plans.queries import _EDGE, _GRAPH, ORACLES, QUERIES, Facts, _functions, _norm, query
-from callweave.plans.schema import CONFIDENCES, conform, rank, rows
+from callweave.plans.queries import _EDGE, ORACLES, Facts, _functions, _norm, query
+from callweave.plans.schema import CONFIDENCES, EDGE_KINDS, conform, rank, require
 from callweave.sources import tables
 from callweave.streaming import deltas
 
@@ -479,4 +479,30 @@ def argument_scores(read: Facts) -> DataFrame:
     return pairs.groupBy(F.col("a1").alias("arg"), F.col("t1").alias("param"), score.alias("score")).agg(F.count("*").alias("n"))
 
 
-assert QUERIES  # registered by import
+@query("nodes", sql="select usr from nodes where not contains(file, '/src/') and not contains(file, '/include/')")
+def skipped_paths(read: Facts) -> DataFrame:
+    """Functions but those in files below some folders."""
+    return edges.skip_paths(read("nodes"), "file", ["src", "/include/"]).select("usr")
+
+
+@query("call_sites_flat", sql="select call_site, caller_name, callee_name, case when has_scope then 1 else 0 end as scopes, condition_text from call_sites_flat where caller_usr in ('o:1', 'o:2', 'o:3')")
+def dump_document(read: Facts) -> DataFrame:
+    """Contexts from one JSON document, as a dump has them."""
+    folder = new_folder(read.spark, "dump")
+    some = read("call_sites").where("caller_usr in ('o:1', 'o:2', 'o:3')")
+    one = contexts.dump(some).agg(F.concat(F.lit('{"totalCallSites": '), F.count("*").cast("string"), F.lit(', "callSites": ['), F.array_join(F.collect_list("value"), ","), F.lit("]}")).alias("value"))
+    one.coalesce(1).write.text(folder)
+    back = tables.read_call_site_dump(read.spark, folder)
+    return back.select("call_site", "caller_name", "callee_name", F.size("try_scopes").alias("scopes"), F.get("guards", 0)["condition_text"].alias("condition_text"))
+
+
+@query("edges", sql="select kind, count(*) as n from edges where kind in ('DirectCall', 'LambdaCall') group by kind union all select 'unknown: Nonsense', 0")
+def edge_kinds_by_name(read: Facts) -> DataFrame:
+    """Edges of kinds by name; a name that is none is an error."""
+    try:
+        require("Nonsense", EDGE_KINDS, "edge kind")
+        refused = ""
+    except ValueError:
+        refused = "unknown: Nonsense"
+    kept = edges.EdgeFilter(("DirectCall", "LambdaCall")).apply(read("edges")).groupBy("kind").agg(F.count("*").alias("n"))
+    return kept.unionByName(_values(read.spark, "kind string, n long", [(refused, 0)]))
