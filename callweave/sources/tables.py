@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from callweave.operators.fixpoint import remove
 from callweave.operators.merge import absorb, build_stats, entry_counts
@@ -94,7 +95,9 @@ def read_facts(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
 
 def read_call_site_dump(spark: SparkSession, path: str) -> DataFrame:
     """Contexts from one JSON document {totalCallSites, callSites: [...]}."""
-    found = spark.read.option("multiLine", True).json(path).select(F.explode("callSites").alias("x")).select("x.*")
+    # Declared, not inferred: nested fields would come in order of name.
+    document = StructType().add("totalCallSites", "long").add("callSites", ArrayType(struct("call_sites")))
+    found = spark.read.schema(document).option("multiLine", True).json(path).select(F.explode("callSites").alias("x")).select("x.*")
     return conform(found, "call_sites")
 
 
