@@ -267,37 +267,115 @@ def near_duplicates(docs: DataFrame, words: int = 3, most: int = 3) -> DataFrame
 
 # Near-duplicates by Jaccard similarity of shingle sets.
 #
-# A similarity of 0.8 is some 15% of differing bits, for which proportional budgets
-# leave no equal segments to join on.  So candidates come from prefixes: in any one order
-# of all shingles, two sets of n shingles or more at a similarity of s share one of their
-# first n - ceil(s * n) + 1.  The order is by hash, with shingles that over ``HOT`` sets
-# have among their first ones last, so that a passage of many documents selects nothing
-# unless a set has hardly anything else.  Sets of 128-bit fingerprints too far apart are
-# no candidates; what is left is joined to loose groups by spanning forests.  Each set is
-# then sent to its loose group once for each block of it, a wide Hamming check prunes
-# pairs, and the sets decide.
+# A similarity of 0.8 is some 15% of differing bits of a fingerprint, for which no equal
+# segments are selective, and only by chance a bound.  So the ring is made of the sets
+# themselves: sets of a and b shingles at a similarity of s differ in at most
+# t = (a + b) * (1 - s) / (1 + s) shingles.  The shingles are dealt by hash to m > t
+# segments on a ring, m by t alone, so some segment starts a chain whose first l segments
+# differ in at most l * t / m shingles, for every l; the start itself is equal.  Segments
+# that both sets have empty, or equal and held by over ``HOT`` sets, differ in nothing and
+# are left out of the pair's ring; so they start no chain unless a set has no more than t
+# others.  Sets join on equal starts; the next ``CHAIN`` segments of a start travel with it
+# as a byte each, and an unequal one counts as one shingle.  What keeps the budgets is joined
+# to loose groups by spanning forests.  Each set is then sent to its loose group once for
+# each block of it, a wide Hamming check prunes pairs, and the sets decide.
 #
-#: Of 128 bits so many may differ in a loose group, of WIDE_LONGS * 64 bits in a pair whose sets are compared: some 5 and 6
-#: standard deviations over what 0.8 makes.  Pairs with a set of SMALL or fewer shingles go by their sets alone.
-LONGS, NEAR_BITS = 2, 40
+#: Segments of the smallest ring, each next one has twice as many; a ring of m is for up to (m - SPARE) / SLACK differing shingles.
+RING, SPARE, SLACK = 5, 3, 1.25
+#: Bytes of a segment's number, and segments after a start that are checked with it.
+SEGMENT_BYTES, CHAIN = 4, 6
+#: Of WIDE_LONGS * 64 bits so many may differ in a pair whose sets are compared: some 6 standard deviations over what 0.8
+#: makes.  Pairs with a set of SMALL or fewer shingles go by their sets alone.
 WIDE_LONGS, WIDE_BITS, SMALL = 16, 224, 48
-#: A shingle among the first ones of more sets comes last; the number rises until there are at most MOST_BROADCAST such.
-HOT = 1000
+#: A segment of more sets is hot; the number rises until there are at most MOST_BROADCAST such.  Which are hot decides
+#: the work, not the result, so they are counted in one of SAMPLED sets.
+HOT, SAMPLED = 1000, 8
 #: Members and shingles of a block of a loose group, on average.
 BLOCK, BLOCK_SHINGLES = 256, 1 << 20
 
 
-def _share(similarity: float, n: int) -> int:
-    """Least number of shingles that a set has in common with a set of ``n`` or more."""
-    return math.ceil(similarity * n - 1e-9)
+def _apart(similarity: float, both: int | np.ndarray) -> int | np.ndarray:
+    """The most shingles in which two similar sets differ that have ``both`` together."""
+    return np.floor(both * ((1 - similarity) / (1 + similarity)) + 1e-6).astype(np.int64)
+
+
+def _rings(similarity: float, n: int) -> list[tuple[int, int]]:
+    """(segments, most differing shingles) of every ring on which a set of ``n`` shingles meets similar sets, equal ones apart."""
+    low = max(1, int(_apart(similarity, n + math.ceil(similarity * n - 1e-6))))
+    high = int(_apart(similarity, n + math.floor(n / similarity + 1e-6)))
+    found, m = [], RING
+    while low <= high:
+        most = int((m - SPARE) / SLACK)
+        if low <= most:
+            found.append((m, min(high, most)))
+            low = most + 1
+        m *= 2
+    return found
+
+
+def _segments(shingles: np.ndarray, m: int) -> np.ndarray:
+    """A number for each of ``m`` segments of a sorted set, 0 for an empty one; equal segments have equal numbers."""
+    out = np.zeros(m, np.uint64)
+    if len(shingles):
+        place = (shingles >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)
+        starts = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+        out[place[starts].astype(np.int64)] = _numbers(np.add.reduceat(_mixed(shingles, 1), starts))
+    return out
+
+
+def _numbers(h: np.ndarray) -> np.ndarray:
+    return np.maximum(h >> np.uint64(64 - 8 * SEGMENT_BYTES), np.uint64(1))
 
 
-def _first(shingles: np.ndarray, similarity: float, hot: np.ndarray | None = None) -> np.ndarray:
-    """The first shingles of a sorted set in the common order, of which similar sets share one."""
-    if hot is not None and len(shingles):
-        last = np.isin(shingles, hot, assume_unique=True)
-        shingles = np.concatenate((shingles[~last], shingles[last]))
-    return shingles[: len(shingles) - _share(similarity, len(shingles)) + 1] if len(shingles) else shingles
+def _profile(shingles: np.ndarray, similarity: float) -> dict:
+    """Size and digest of a sorted set, and its rings; one with too few filled segments is followed by the shingles, each a segment."""
+    import xxhash
+
+    digest, rings = np.frombuffer(xxhash.xxh3_128_digest(shingles.tobytes()), np.int64), []
+    for m, most in _rings(similarity, len(shingles)):
+        rings.append(_segments(shingles, m))
+        if np.count_nonzero(rings[-1]) <= most:
+            rings.append(_numbers(_mixed(shingles, 1)))
+    numbers = np.concatenate(rings) if rings else np.zeros(0, np.uint64)
+    packed_rings = numbers.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SEGMENT_BYTES].tobytes()
+    return {"n": len(shingles), "d0": int(digest[0]), "d1": int(digest[1]), "rings": packed_rings}
+
+
+def _chains(ring: np.ndarray) -> np.ndarray:
+    """For every segment the last bytes of the next ``CHAIN`` ones, the nearest lowest."""
+    m = len(ring)
+    last = (ring & np.uint64(255)).astype(np.uint8)
+    after = np.zeros((m, 8), np.uint8)
+    after[:, :CHAIN] = np.lib.stride_tricks.sliding_window_view(np.resize(last, m + CHAIN), CHAIN)[1:]
+    after[:, m - 1 :] = 0
+    return after.view("<i8")[:, 0]
+
+
+def _starts(n: int, rings: bytes, similarity: float, hot: np.ndarray, hot_only: bool = False) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """(keys, chains, segments that are not hot) of the starts on each ring of a set of ``n`` shingles; ``hot`` holds sorted keys."""
+    numbers = np.zeros((len(rings) // SEGMENT_BYTES, 8), np.uint8)
+    numbers[:, :SEGMENT_BYTES] = np.frombuffer(rings, np.uint8).reshape(-1, SEGMENT_BYTES)
+    numbers, out = numbers.view("<u8")[:, 0], []
+
+    def add(ring: np.ndarray, keys: np.ndarray, chains: np.ndarray, most: int) -> None:
+        filled = ring > 0
+        warm = np.zeros(len(ring), bool)
+        if len(hot):
+            warm = hot[np.minimum(np.searchsorted(hot, keys), len(hot) - 1)] == keys
+        cold = filled & ~warm
+        count = int(np.count_nonzero(cold))
+        taken = cold if count > most else filled
+        taken = taken & warm if hot_only else taken
+        out.append((keys[taken], chains[taken], count))
+
+    for m, most in _rings(similarity, n):
+        ring, numbers = numbers[:m], numbers[m:]
+        places = np.arange(m, dtype=np.uint64) << np.uint64(8 * SEGMENT_BYTES)
+        add(ring, (_mixed(ring | places, 2) ^ np.uint64(m)).view(np.int64), _chains(ring), most)
+        if np.count_nonzero(ring) <= most:
+            ring, numbers = numbers[:n], numbers[n:]
+            add(ring, (_mixed(ring, 3) ^ np.uint64(m)).view(np.int64), np.zeros(n, np.int64), most)
+    return out
 
 
 def _sets(docs: DataFrame, words: int, make: Callable[[np.ndarray], dict], schema: str) -> DataFrame:
@@ -317,37 +395,55 @@ def _sets(docs: DataFrame, words: int, make: Callable[[np.ndarray], dict], schem
     return arrow_map(docs, None, ", ".join(f"{c} {kinds[c]}" for c in kept) + ", " + schema, made, step=128)
 
 
-def _profile(shingles: np.ndarray, similarity: float) -> dict:
-    import xxhash
+def chain_rows(classes: DataFrame, similarity: float, hot: np.ndarray, hot_only: bool = False) -> DataFrame:
+    """(key, id, n, m, chain) for every start of ``classes`` (id, n, rings); with ``hot_only`` for those that are hot."""
+
+    def work(rows: dict) -> dict:
+        keys, ids, sizes, counts, chains = [], [], [], [], []
+        for i, n, rings in zip(rows["id"], rows["n"], rows["rings"], strict=True):
+            for key, chain, m in _starts(n, rings, similarity, hot, hot_only):
+                keys.append(key)
+                chains.append(chain)
+                ids.append(np.full(len(key), i, np.int64))
+                sizes.append(np.full(len(key), n, np.int32))
+                counts.append(np.full(len(key), m, np.int32))
+        joined = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+        return {"key": joined(keys, np.int64), "id": joined(ids, np.int64), "n": joined(sizes, np.int32), "m": joined(counts, np.int32), "chain": joined(chains, np.int64)}
 
-    f, digest = majority(shingles, LONGS), np.frombuffer(xxhash.xxh3_128_digest(shingles.tobytes()), np.int64)
-    keys = _first(shingles, similarity).view(np.int64)
-    return {"n": len(shingles), "d0": int(digest[0]), "d1": int(digest[1]), "f0": f[0], "f1": f[1], "keys": keys}
+    return arrow_map(classes.select("id", "n", "rings"), work, "key long, id long, n int, m int, chain long", step=32)
 
 
-def _near_bits(columns: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    f0, f1 = columns["f0"].view(np.uint64), columns["f1"].view(np.uint64)
-    apart = np.bitwise_count(f0[a] ^ f0[b]) + np.bitwise_count(f1[a] ^ f1[b])
-    return (apart <= NEAR_BITS) | (columns["n"][a] <= SMALL)
+def _within_chains(columns: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    """The pigeonring check of pairs with an equal start: its chains of up to ``CHAIN`` more segments, each within its budget."""
+    n, m = columns["n"].astype(np.int64), columns["m"].astype(np.int64)
+    most, ring = _apart(similarity, n[a] + n[b]), np.maximum(1, np.maximum(m[a], m[b]))
+    apart, unequal, good = columns["chain"][a] ^ columns["chain"][b], np.zeros(len(a), np.int64), np.ones(len(a), bool)
+    for i in range(CHAIN):
+        unequal += (apart >> np.int64(8 * i)) & np.int64(255) != 0
+        good &= unequal <= (i + 2) * most // ring
+    return good
 
 
-def _hot(classes: DataFrame) -> np.ndarray:
+def _hot(classes: DataFrame, similarity: float) -> np.ndarray:
     """Keys that too many classes have, at most ``MOST_BROADCAST``, sorted."""
-    counts = cut(classes.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT))
-    least = HOT
+    some = classes.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLED)) == 0)
+    counts = chain_rows(some, similarity, np.zeros(0, np.int64)).groupBy("key").agg((F.count("*") * SAMPLED).alias("n"))
+    counts, least = cut(counts.where(F.col("n") > HOT)), HOT
     while (hot := counts.where(F.col("n") > least)).count() > MOST_BROADCAST:
         least *= 4
-    return np.sort(np.array([r.key for r in hot.select("key").collect()], np.int64)).view(np.uint64)
+    return np.sort(np.array([r.key for r in hot.select("key").collect()], np.int64))
 
 
-def loose_links(classes: DataFrame, similarity: float, changed: DataFrame | None = None) -> DataFrame:
-    """(a, b) of ids of ``classes`` (id, n, f0, f1, keys): for every key a spanning forest of the classes that have it and are close.
+def loose_links(classes: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of ids of ``classes`` (id, n, rings): for every start of a chain a spanning forest of the classes that have it and keep its budgets.
 
-    Beside the ``changed`` classes no key has over ``HOT`` others, so theirs alone are counted.
+    Complete: similar classes are connected.  Other keys than hot ones have some ``HOT``
+    rows at most, so only hot ones are counted.
     """
-    rows = classes.select(F.explode("keys").alias("key"), "id", "n", "f0", "f1")
-    counted = rows.where("1 = 0") if changed is None else changed.select(F.explode("keys").alias("key"))
-    return grouped_forests(rows, _near_bits, similarity, counted.select("key"), HOT)
+    hot = _hot(classes, similarity)
+    rows = chain_rows(classes, similarity, hot)
+    counted = chain_rows(classes if len(hot) else classes.where("1 = 0"), similarity, hot, hot_only=True)
+    return grouped_forests(rows, lambda columns, a, b: _within_chains(columns, a, b, similarity), similarity, counted.select("key"), HOT)
 
 
 def _verified(members: list[dict], similarity: float) -> list[tuple[int, int]]:
@@ -415,10 +511,9 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
         raise ValueError("the Hamming checks are made for a similarity of 0.8 or more")
     texts = docs.select("doc_id", F.xxhash64("text").alias("hash"), "text")
     keyed_texts = docs.select(*_row_key(F.col("doc_id"), F.xxhash64("text")), "text").dropDuplicates(["d", "z", "h"])
-    found = _sets(texts, words, lambda s: _profile(s, similarity), "n int, d0 long, d1 long, f0 long, f1 long, keys array<long>")
-    found = cut(found)
+    found = cut(_sets(texts, words, lambda s: _profile(s, similarity), "n int, d0 long, d1 long, rings binary"))
     same = ["n", "d0", "d1"]
-    classes = found.groupBy(*same).agg(F.min(F.struct("doc_id", "hash")).alias("first"), *[F.any_value(c).alias(c) for c in ("f0", "f1", "keys")])
+    classes = found.groupBy(*same).agg(F.min(F.struct("doc_id", "hash")).alias("first"), F.any_value("rings").alias("rings"))
     classes = cut(classes.withColumn("id", F.monotonically_increasing_id()))
 
     def texts_of(wanted: DataFrame) -> DataFrame:
@@ -426,15 +521,7 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
         wanted = classes.join(wanted, "id", "left_semi").select("id", *_row_key(F.col("first.doc_id"), F.col("first.hash")))
         return keyed_texts.join(wanted, ["d", "z", "h"]).select("id", "text")
 
-    keyed = classes.select("id", "n", "f0", "f1", "keys")
-    hot, changed = _hot(classes), None
-    if len(hot):
-        table = docs.sparkSession.createDataFrame([(x,) for x in hot.view(np.int64).tolist()], "key long")
-        some = cut(keyed.select("id", F.explode("keys").alias("key")).join(F.broadcast(table), "key", "left_semi").select("id").distinct())
-        again = _sets(texts_of(some), words, lambda s: {"keys": _first(s, similarity, hot).view(np.int64)}, "keys array<long>")
-        changed = cut(keyed.drop("keys").join(again, "id"))
-        keyed = keyed.join(some, "id", "left_anti").unionByName(changed)
-    loose = cut(components(loose_links(keyed, similarity, changed)).withColumnRenamed("node", "id"))
+    loose = cut(components(loose_links(classes, similarity)).withColumnRenamed("node", "id"))
     whole = lambda s: {"shingles": s.tobytes(), "wide": np.array(majority(s, WIDE_LONGS), np.int64).tobytes()}
     sets = cut(_sets(texts_of(loose.select("id")), words, whole, "shingles binary, wide binary").join(loose, "id"))
     groups = components(exact_links(sets, similarity)).withColumnRenamed("node", "id")
