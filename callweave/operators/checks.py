@@ -242,10 +242,16 @@ def adl(calls: DataFrame, overloads: DataFrame, includes: DataFrame, same_score:
 
 
 def ctad(variables: DataFrame, guides: DataFrame, includes: DataFrame) -> DataFrame:
-    """Variables for which a guide that is not included deduces another type."""
-    pairs = variables.join(guides.select("template_name", "header_path", F.col("deduced_type").alias("other")), "template_name").where("deduced_type <> other")
+    """Variables for which a guide that is not included deduces another type.
+
+    What a unit misses is found for each (unit, template) from distinct guides, so a
+    variable meets missing guides alone.
+    """
+    known = guides.select("template_name", "header_path", F.col("deduced_type").alias("other")).distinct()
+    pairs = variables.select("tu_path", "template_name").distinct().join(known, "template_name")
     missing = pairs.join(includes.select("tu_path", F.col("file").alias("header_path")), ["tu_path", "header_path"], "left_anti")
-    return missing.select("call_location", "template_name", "deduced_type", "other", F.col("header_path").alias("missing_header")).distinct()
+    found = variables.select("tu_path", "call_location", "template_name", "deduced_type").join(cut(missing), ["tu_path", "template_name"]).where("deduced_type <> other")
+    return found.select("call_location", "template_name", "deduced_type", "other", F.col("header_path").alias("missing_header")).distinct()
 
 
 def specializations(instantiations: DataFrame, known: DataFrame, includes: DataFrame) -> DataFrame:
