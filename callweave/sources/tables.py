@@ -143,6 +143,16 @@ def files_with(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     return rows.where(F.col("text").rlike(pattern))
 
 
+def pack_files(rows: DataFrame, folder: str) -> None:
+    """Files (file, text) as a table of as many parts as the data has: a file system has no entry for each of them."""
+    rows.select("file", "text").write.parquet(folder)
+
+
+def packed_with(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
+    """``files_with`` over packed files."""
+    return spark.read.schema("file string, text string").parquet(folder).where(F.col("text").rlike(pattern))
+
+
 JOURNAL = "seq long, tu_path string, stamp string, state string"
 
 
