@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from callweave.functions.scalars import set_fingerprint
 
 from callweave.operators.edges import COLUMNS as EDGE_KEY
+from callweave.operators.fixpoint import cut
 
 #: Tables with set semantics and the key of an entry; the first entry wins.
 SETS = {
@@ -143,14 +144,26 @@ def warm_start(
 
     Another configuration asks for a rebuild.  Dropped files are removed, new and
     changed ones come from ``index``; without any there is nothing to save again.
+    ``index`` works through a list on the driver; ``refresh`` is for one that is a plan.
     """
+
+    def listed(fresh: DataFrame) -> dict[str, DataFrame]:
+        paths = sorted(r.path for r in fresh.collect())  # files to index again, a list the caller works through
+        return index(paths) if paths else {}
+
+    return refresh(tables, old, new, listed, same_config)
+
+
+def refresh(
+    tables: dict[str, DataFrame], old: DataFrame, new: DataFrame, index: Callable[[DataFrame], dict[str, DataFrame]], same_config: bool = True
+) -> tuple[str, dict[str, DataFrame] | None]:
+    """``warm_start`` where ``index`` takes the new and changed files as a table (path): no list of files reaches the driver."""
     if not same_config:
         return "rebuild", None
-    states = stamp_diff(old, new).where("state <> 'same'").collect()  # files to index again, a list the caller works through
-    if not states:
+    stale = cut(stamp_diff(old, new).where("state <> 'same'"))
+    if stale.isEmpty():
         return "unchanged", tables
-    fresh = sorted(r.path for r in states if r.state != "dropped")
-    return "refreshed", apply_delta(tables, sorted(r.path for r in states), index(fresh) if fresh else {})
+    return "refreshed", apply_delta(tables, stale.select(F.col("path").alias("tu_path")), index(stale.where("state <> 'dropped'").select("path")))
 
 
 def compact(tables: dict[str, DataFrame], rows: int = 1_000_000) -> dict[str, DataFrame]:
