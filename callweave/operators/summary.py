@@ -12,15 +12,23 @@ from callweave.plans.schema import CONFIDENCES, RESULT_KINDS
 
 def histogram(expanded: DataFrame, column: str) -> DataFrame:
     """(column, n) with a row for every value of the enumeration, zero where there is none."""
+    return filled(expanded.groupBy(column).agg(F.count("*").alias("n")), column)
+
+
+def filled(counts: DataFrame, column: str) -> DataFrame:
+    """``histogram`` from counts (column, n)."""
     values = CONFIDENCES if column == "confidence" else RESULT_KINDS
-    domain = expanded.sparkSession.createDataFrame([(v,) for v in values], f"{column} string")
-    found = expanded.groupBy(column).agg(F.count("*").alias("n"))
-    return domain.join(found, column, "left").select(column, F.coalesce("n", F.lit(0)).alias("n"))
+    domain = counts.sparkSession.createDataFrame([(v,) for v in values], f"{column} string")
+    return domain.join(counts, column, "left").select(column, F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def top(expanded: DataFrame, nodes: DataFrame, side: str, k: int = 5) -> DataFrame:
     """(name, n): display names with most expanded edges out (``caller``) or in (``callee``); ties by name."""
-    per_usr = expanded.groupBy(side).agg(F.count("*").alias("n"))
+    return first(expanded.groupBy(side).agg(F.count("*").alias("n")), nodes, side, k)
+
+
+def first(per_usr: DataFrame, nodes: DataFrame, side: str, k: int = 5) -> DataFrame:
+    """``top`` from counts (side, n)."""
     named = per_usr.join(nodes.select(F.col("usr").alias(side), "qualified_name"), side, "left")
     named = named.select(F.coalesce("qualified_name", side).alias("name"), "n")
     return named.groupBy("name").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "name").limit(k)
@@ -28,7 +36,11 @@ def top(expanded: DataFrame, nodes: DataFrame, side: str, k: int = 5) -> DataFra
 
 def totals(nodes: DataFrame, expanded: DataFrame, call_sites: DataFrame) -> DataFrame:
     """One row: node_count, edge_count, call_site_count, entry_point_count."""
-    per_caller = expanded.groupBy("caller").agg(F.count("*").alias("n"))
+    return sizes(nodes, expanded.groupBy("caller").agg(F.count("*").alias("n")), call_sites)
+
+
+def sizes(nodes: DataFrame, per_caller: DataFrame, call_sites: DataFrame) -> DataFrame:
+    """``totals`` from counts (caller, n)."""
     registered = per_caller.join(nodes.select(F.col("usr").alias("caller")), "caller", "left_semi")
     parts = [
         nodes.agg(F.count("*").alias("node_count"), F.count_if("is_entry_point").alias("entry_point_count")),

@@ -1,11 +1,12 @@
 """What larger tables showed: work that grew faster than its input, and lists that reached the driver."""
 
 import glob
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from callweave.operators import checks, merge
+from callweave.operators import channels, checks, edges, fixpoint, merge
 from callweave.plans import registry
 from callweave.plans.schema import rows
 from callweave.sources import tables
@@ -63,3 +64,42 @@ def test_packed_files_are_few(spark, tmp_path):
     assert len(glob.glob(f"{tmp_path}/packed/*")) < 10
     found = tables.packed_with(spark, f"{tmp_path}/packed", "Licensed? under")
     assert sorted(map(tuple, found.collect())) == [(f"d{i}", "a\nLicense under\n\n") for i in range(0, 500, 100)]
+
+
+def random_graph(spark, seed):
+    """Edges with several calls at a place, overrides with several bases and a cycle, deferred returns that meet both."""
+    made = random.Random(seed)
+    f = lambda: f"f{made.randrange(14)}"
+    kinds = [("VirtualDispatch", "Plausible")] * 4 + [("DirectCall", "Proven"), ("VirtualDispatch", "Proven"), ("FunctionPointerReturn", "Proven"), ("FunctionPointerReturn", "Plausible"), ("ConstructorCall", "Proven")]
+    rows_ = []
+    for _ in range(90):
+        kind, sure = made.choice(kinds)
+        rows_.append((f"f{made.randrange(5)}", f(), f"s{made.randrange(9)}", kind, sure, made.choice(["Synchronous", "Synchronous", "ThreadSpawn", "AsyncTask"]), made.randrange(2)))
+    overrides = {(f"f{i // 2}", f"f{i}") for i in range(2, 12)} | ({("f3", "f9"), ("f4", "f11"), ("f11", "f2")} if seed % 2 else set())
+    schema = "caller string, callee string, call_site string, kind string, confidence string, exec_context string, indirection_depth int"
+    returns = sorted({(f(), f()) for _ in range(12)})
+    return spark.createDataFrame(rows_ + rows_[:20], schema), spark.createDataFrame(sorted(overrides), "base_method string, override_method string"), spark.createDataFrame(returns, "func string, returned_func string")
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_view_in_parts_is_the_whole_view(spark, seed):
+    tus, overrides, returns = random_graph(spark, seed)
+    tus, overrides, returns = tus.cache(), overrides.cache(), returns.cache()
+    view, whole = edges.View(tus, overrides, returns), fixpoint.cut(edges.expanded(edges.stored(tus), overrides, returns))
+    as_rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    for by in (("kind", "confidence", "exec_context"), ("caller",), ("callee",)):
+        want = whole.groupBy(*by).agg(F.count("*").alias("n"), F.sum(F.length("callee")).alias("chars"))
+        assert as_rows(view.counts(*by)) == as_rows(want)
+    spread_out = view.whole.withColumnRenamed("callee", "base_method").join(view.closed.withColumnRenamed("override_method", "callee"), "base_method").select(*edges.COLUMNS)
+    assert as_rows(view.plain.distinct().unionByName(view.deferred).unionByName(view.single).unionByName(spread_out)) == as_rows(whole.select(*edges.COLUMNS))
+    sure = edges.EdgeFilter(min_confidence="Proven")
+    assert as_rows(view.narrow(sure).distinct()) == as_rows(sure.apply(whole).select(*edges.COLUMNS))
+    for target in ("f9",):
+        assert as_rows(channels.boundaries_in(view, target)) == as_rows(channels.boundaries(whole, target, most=1 << 60).select(*channels.boundaries_in(view, target).columns))
+
+
+def test_a_filter_with_dispatch_is_no_narrow_one(spark):
+    tus, overrides, returns = random_graph(spark, 0)
+    with pytest.raises(ValueError):
+        edges.View(tus, overrides, returns).narrow(edges.EdgeFilter(min_confidence="Plausible"))
+    assert not edges.EdgeFilter(("LambdaCall",)).dispatch and not edges.EdgeFilter(include_confidences=("Proven",)).dispatch and edges.EdgeFilter().dispatch
