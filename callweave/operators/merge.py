@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from callweave.functions.scalars import set_fingerprint
 
 from callweave.operators.edges import COLUMNS as EDGE_KEY
-from callweave.operators.fixpoint import cut
+from callweave.operators.fixpoint import cut, spread
 
 #: Tables with set semantics and the key of an entry; the first entry wins.
 SETS = {
@@ -77,7 +77,7 @@ def remove_tus(edge_tus: DataFrame, tus: DataFrame) -> tuple[DataFrame, DataFram
     left = edge_tus.join(tus, "tu_path", "left_anti")
     marked = edge_tus.join(tus.select("tu_path").distinct().withColumn("_gone", F.lit(True)), "tu_path", "left")
     # One grouping: an edge is gone if all its registrations are.
-    counted = marked.groupBy(*EDGE_KEY).agg(F.count("*").alias("refs"), F.count("_gone").alias("_n"))
+    counted = spread(marked, "caller", "call_site").groupBy(*EDGE_KEY).agg(F.count("*").alias("refs"), F.count("_gone").alias("_n"))
     return left, counted.where("refs = _n").drop("_n")
 
 

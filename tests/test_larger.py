@@ -10,6 +10,7 @@ from callweave.operators import channels, checks, edges, fixpoint, merge
 from callweave.plans import registry
 from callweave.plans.schema import rows
 from callweave.sources import tables
+from callweave.streaming import deltas
 
 
 def joined_rows(df):
@@ -103,3 +104,15 @@ def test_a_filter_with_dispatch_is_no_narrow_one(spark):
     with pytest.raises(ValueError):
         edges.View(tus, overrides, returns).narrow(edges.EdgeFilter(min_confidence="Plausible"))
     assert not edges.EdgeFilter(("LambdaCall",)).dispatch and not edges.EdgeFilter(include_confidences=("Proven",)).dispatch and edges.EdgeFilter().dispatch
+
+
+def test_tasks_grow_in_number(spark, monkeypatch, tmp_path):
+    """Beyond the size of a partition registrations are dealt over more tasks, a unit's too."""
+    monkeypatch.setattr(fixpoint, "PART", 1 << 10)
+    tus = spark.range(0, 400).select(F.concat(F.lit("f"), "id").alias("caller"), F.lit("g").alias("callee"), F.lit("s").alias("call_site"), F.lit("DirectCall").alias("kind"), F.lit("Proven").alias("confidence"), F.lit("Synchronous").alias("exec_context"), F.lit(0).alias("indirection_depth"), F.lit("t").alias("tu_path"), F.lit(1).alias("version"))
+    planned = lambda df: df._jdf.queryExecution().toString()
+    assert "REPARTITION_BY_NUM" in planned(edges.stored(tus)) and edges.stored(tus).count() == 400
+    gone = merge.remove_tus(tus.drop("version"), spark.createDataFrame([("t",)], "tu_path string"))[1]
+    assert "REPARTITION_BY_NUM" in planned(gone) and gone.count() == 400
+    deltas.apply_batch(tus, f"{tmp_path}/held")
+    assert len(glob.glob(f"{tmp_path}/held/tu_path=t/*.parquet")) > 1 and deltas.current_edges(spark, f"{tmp_path}/held").count() == 400
